@@ -23,7 +23,7 @@ MAX_LABELLED = 20_000
 #: Words that the model has at most.
 MAX_WORDS = 2_000
 #: A document is toxic if P(grade >= 1) is above this.
-CUT = 0.5
+CUT = 0.2
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,7 +43,7 @@ class Model:
         return np.diff(np.column_stack([np.zeros(len(z)), below, np.ones(len(z))]), axis=1)
 
 
-def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, n_words: int, n_grades: int = 3, l2: float = 0.1, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, n_words: int, n_grades: int = 3, l2: float = 0.03, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by gradient descent (Adam) on the penalised likelihood.
 
     rows: indexes of the words each document holds. Thresholds are kept in order
