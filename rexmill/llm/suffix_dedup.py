@@ -253,6 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, peri
 
     anchors = keyed.select("th", "bytes").mapInArrow(functools.partial(_anchors, length, gram), "anchor long, th long, pos int, loc long")
     twice = anchors.groupBy("anchor").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).filter("lo < hi").select("anchor")
+    twice = stash(twice, "suffix-anchors")  # a table of its own, so that a hot anchor's side of the join can be split
     places = anchors.select("anchor", "th", "pos").join(twice, "anchor", "left_semi").groupBy("th").agg(F.collect_set("pos").alias("places"))
     wanted = classes.join(places, "th").select("th", "one", "places")
     some = keyed.join(wanted.withColumnRenamed("th", "of"), (keyed["th"] == F.col("of")) & keyed["doc_id"].eqNullSafe(F.col("one"))).select("th", "bytes", "places")
