@@ -1,4 +1,247 @@
-"""Driver queries of the pattern operators."""
+"""Driver queries of the pattern operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import columns as rx
+from .functions.sql import find_all_table
+from .sources.tables import pattern_table, table, tag_by_patterns
+from .streaming.stateless import windowed_hits
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+_IPV4_SQL = r"\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{EMAIL}')")
+def filter_email(spark, d):
+    return table(spark, d, "documents").where(rx.matches("text", EMAIL)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|copyright|spdx')")
+def filter_license_ci(spark, d):
+    return table(spark, d, "documents").where(rx.matches("text", "licen[sc]e|copyright|spdx", "i")).select("doc_id")
+
+
+@query(f"SELECT lang, count(*) AS n, count(DISTINCT hit) AS n_distinct FROM (SELECT lang, unnest(regexp_extract_all(text, '{EMAIL}')) AS hit FROM documents) GROUP BY lang")
+def email_by_lang(spark, d):
+    hits = table(spark, d, "documents").select("lang", F.explode(rx.find_all("text", EMAIL)).alias("hit"))
+    return hits.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("hit").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_IPV4_SQL}')) AS ip FROM documents")
+def ip_extract_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(rx.find_all("text", IPV4)).alias("ip"))
+
+
+@query(rf"SELECT lang, sum(len(regexp_extract_all(text, '{WORD}')))::BIGINT AS n_words FROM documents GROUP BY lang")
+def word_count_by_lang(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.sum(rx.count("text", r"\w+")).alias("n_words"))
+
+
+@query(r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 20")
+def pascal_case_top20(spark, d):
+    words = table(spark, d, "documents").select(F.explode(rx.find_all("text", r"\p{Lu}\p{Ll}+")).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(20)
+
+
+@query(r"""SELECT event_type, sum(TRY_CAST(regexp_extract(props, '"k": (\d+)', 1) AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type""")
+def events_props_k(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(rx.extract("props", r'"k": (\d+)', 1).cast("long")).alias("total"))
+
+
+@query(r"SELECT c_custkey, regexp_extract(c_name, '^(\w+)#(\d+)$', 1) AS kind, regexp_extract(c_name, '^(\w+)#(\d+)$', 2)::BIGINT AS num FROM customer")
+def cust_no_named(spark, d):
+    s = rx.extract_struct("c_name", r"\A(?<kind>\w+)#(?<num>\d+)\z")
+    return table(spark, d, "customer").select("c_custkey", s.alias("s")).select("c_custkey", "s.kind", F.col("s.num").cast("long").alias("num"))
+
+
+_URL = r"\A(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+_URL_SQL = r"^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+@query(f"SELECT page_id, regexp_extract(url, '{_URL_SQL}', 1) AS scheme, regexp_extract(url, '{_URL_SQL}', 2) AS host, regexp_extract(url, '{_URL_SQL}', 3) AS path, CASE WHEN contains(url, '?') THEN regexp_extract(url, '{_URL_SQL}', 4) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '{_URL_SQL}', 5) END AS fragment FROM pages")
+def url_parts(spark, d):
+    """Optional groups are null when they took no part, so this runs in the kernel."""
+    s = rx.extract_struct("url", _URL)
+    return table(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", F.col("s.g1").alias("scheme"), F.col("s.g2").alias("host"), F.col("s.g3").alias("path"), F.col("s.g4").alias("query"), F.col("s.g5").alias("fragment"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '<email>', 'g'), '{_IPV4_SQL}', '<ip>', 'g')) AS redacted FROM documents")
+def redact_pii(spark, d):
+    out = rx.replace(rx.replace("text", EMAIL, "<email>"), IPV4, "<ip>")
+    return table(spark, d, "documents").select("doc_id", F.md5(out).alias("redacted"))
+
+
+@query(r"SELECT o_orderkey, regexp_replace(o_orderpriority, '(\d)-(\w+)', '\2-\1', 'g') AS swapped FROM orders")
+def swap_groups(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", rx.replace("o_orderpriority", r"(\d)-(\w+)", "$2-$1").alias("swapped"))
+
+
+@query(r"SELECT o_orderkey, regexp_replace(o_orderpriority, '[A-Z]', '_') AS masked FROM orders")
+def replace_first_n(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", rx.replace("o_orderpriority", "[A-Z]", "_", count=1).alias("masked"))
+
+
+@query(r"SELECT doc_id, len(regexp_split_to_array(text, '[.!?]+\s'))::INT AS n_sentences FROM documents")
+def split_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(rx.split("text", r"[.!?]+[ \t\n\r\f\v]")).alias("n_sentences"))
+
+
+@query("SELECT s_suppkey, array_to_string([regexp_extract(s_name, '^([^#]*)(#)(.*)$', 1), '#', regexp_extract(s_name, '^([^#]*)(#)(.*)$', 3)], '|') AS pieces FROM supplier")
+def split_keep_delims(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(rx.split("s_name", "(#)"), "|").alias("pieces"))
+
+
+_SPAN_SQL = "strlen(regexp_extract(text, '^((?s:.*?))ß', 1))"
+
+
+@query(f"SELECT doc_id, CASE WHEN contains(text, 'ß') THEN {_SPAN_SQL} ELSE -1 END::INT AS a, CASE WHEN contains(text, 'ß') THEN {_SPAN_SQL} + 2 ELSE -1 END::INT AS b FROM documents")
+def match_spans(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.find_span("text", "ß").alias("s")).select("doc_id", "s.a", "s.b")
+
+
+@query(r"SELECT doc_id, list_last(regexp_extract_all(text, '\p{Nd}')) AS last_digit FROM documents")
+def backward_last_number(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.find_backward("text", r"\d").alias("last_digit"))
+
+
+@query(r"SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#1')")
+def match_at_zero(spark, d):
+    return table(spark, d, "part").where(rx.starts_with("p_brand", r"Brand#1")).select("p_partkey")
+
+
+@query(rf"SELECT doc_id, regexp_extract_all(text, '({WORD}),', 1)[1] AS w FROM documents")
+def lookahead_word_before_comma(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.find("text", r"\w+(?=,)").alias("w"))
+
+
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, 'token = ("[0-9a-f]+)', 1), '') AS v FROM documents""")
+def lookbehind_after_eq(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.find("text", r'(?<=token = )"[0-9a-f]+').alias("v"))
+
+
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(text, '{c}{c}')" for c in "aeot"))
+def dup_adjacent_letter(spark, d):
+    return table(spark, d, "documents").where(rx.matches("text", r"([aeot])\1")).select("doc_id")
+
+
+@query()
+def doubled_word(spark, d):
+    return table(spark, d, "documents").where(rx.matches("text", r"\b([a-z]{4,12})\x20\1\b")).select("doc_id")
+
+
+@query()
+def paren_recursion(spark, d):
+    return table(spark, d, "documents").select("doc_id", rx.find("text", r"\((?:[^()]++|\g<0>)*\)").alias("hit")).where("hit is not null")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 0) AS hit FROM pages WHERE regexp_matches(html, '<title>([^<]*)</title>')")
+def html_tag_balanced(spark, d):
+    hit = rx.find("html", r"(?<tag><(?<n>title)>(?:[^<]++|\g<tag>)*</\k<n>>)")
+    return table(spark, d, "pages").select("page_id", hit.alias("hit")).where("hit is not null")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '(?s)<script>.*?</script>', 0) AS script FROM pages WHERE regexp_matches(html, '(?s)<script>.*?</script>')")
+def absent_comment(spark, d):
+    return table(spark, d, "pages").select("page_id", rx.find("html", r"<script>(?~</script>)</script>").alias("script")).where("script is not null")
+
+
+@query("SELECT p_partkey, CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, 1, instr(p_brand, '#') - 1) ELSE p_brand END AS head FROM part")
+def absent_range(spark, d):
+    return table(spark, d, "part").select("p_partkey", rx.find("p_brand", r"(?~|#).*").alias("head"))
+
+
+@query(r"SELECT c_custkey, regexp_extract(c_name, '0{0,3}', 0) AS z FROM (SELECT c_custkey, substr(c_name, 10) AS c_name FROM customer)")
+def callout_max3(spark, d):
+    return table(spark, d, "customer").select("c_custkey", rx.find(F.substring("c_name", 10, 99), r"(?:0(*MAX{3}))*").alias("z"))
+
+
+@query(r"""SELECT doc_id, regexp_extract(text, '= ("[^"]*"|[^ "]+)', 0) AS v FROM documents WHERE regexp_matches(text, '= ("[^"]*"|[^ "]+)')""")
+def cond_quote(spark, d):
+    hit = rx.find("text", r'= (")?(?(1)[^"]*"|[^ "]+)')
+    return table(spark, d, "documents").select("doc_id", hit.alias("v")).where("v is not null")
+
+
+@query("SELECT c_custkey, substr(c_name, instr(c_name, '#') + 1) AS v FROM customer")
+def keep_out(spark, d):
+    return table(spark, d, "customer").select("c_custkey", rx.find("c_name", r"Customer#\K.*").alias("v"))
+
+
+@query("SELECT o_orderkey, CASE WHEN length(o_orderpriority) > 2 THEN o_orderpriority END AS longest FROM orders")
+def longest_alt(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", rx.find("o_orderpriority", r"(?L)\d-|\d-[A-Z ]+(?:[A-Z]+)?|[A-Z]").alias("longest"))
+
+
+@query("SELECT s_suppkey, length(s_name)::INT AS n FROM supplier")
+def grapheme_count(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", rx.count("s_name", r"\X").alias("n"))
+
+
+@query()
+def word_segments(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", rx.find_all("s_name", r"(?y{w}).").alias("segments"))
+
+
+_PATTERNS = {"email": EMAIL, "ip": IPV4, "license": "(?i)licen[sc]e", "digits": r"\d{6,}"}
+
+
+@query(f"SELECT label, count(*) AS n FROM documents JOIN (VALUES ('email', '{EMAIL}'), ('ip', '{_IPV4_SQL}'), ('license', '(?i)licen[sc]e'), ('digits', '\\p{{Nd}}{{6,}}')) t(label, p) ON regexp_matches(text, p) GROUP BY label")
+def pattern_table_join(spark, d):
+    return tag_by_patterns(table(spark, d, "documents").select("text"), "text", pattern_table(spark, _PATTERNS)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id AND (regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{_IPV4_SQL}')))")
+def docs_without_pii(spark, d):
+    docs = table(spark, d, "documents")
+    hit = docs.where(rx.matches("text", EMAIL) | rx.matches("text", IPV4)).select("doc_id")
+    return docs.select("doc_id").join(hit, "doc_id", "left_anti")
+
+
+@query(r"SELECT c_custkey, i AS match_no, (9 + i)::INT AS a, CASE WHEN i > 0 THEN 1 END::INT AS gap FROM (SELECT c_custkey, unnest(range(0, 9)) AS i FROM customer)")
+def match_gap_window(spark, d):
+    """Distance between the starts of neighbouring matches."""
+    hits = table(spark, d, "customer").select("c_custkey", F.posexplode(rx.find_all_spans("c_name", r"\d")).alias("match_no", "m"))
+    hits = hits.select("c_custkey", F.col("match_no").cast("long").alias("match_no"), F.col("m")[0]["a"].alias("a"))
+    return hits.withColumn("gap", F.col("a") - F.lag("a").over(Window.partitionBy("c_custkey").orderBy("match_no")))
+
+
+@query(r"SELECT conv_id, turn, regexp_extract(text, '\p{Lu}\p{L}*', 0) AS first_capital FROM conversations WHERE regexp_matches(text, '\p{Lu}\p{L}*')")
+def first_capital_by_turn(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", rx.find("text", r"\p{Lu}\p{L}*").alias("first_capital")).where("first_capital is not null")
+
+
+@query("SELECT n_nationkey, 0::INT AS match_no, 0::INT AS a, strlen(n_name)::INT AS b, n_name AS text FROM nation")
+def lateral_find_all(spark, d):
+    """The table function: one row per match."""
+    spark.udtf.register("rx_find_all", find_all_table())
+    table(spark, d, "nation").createOrReplaceTempView("rx_nation")
+    return spark.sql(r"SELECT n_nationkey, f.match_no, f.a, f.b, f.text FROM rx_nation, LATERAL rx_find_all(n_name, '.+') f WHERE f.group_no = 0")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, count(*) AS n_rows, count(*) FILTER (contains(event_type, 'c'))::BIGINT AS n_hit, sum(length(event_type) - length(replace(event_type, 'c', '')))::BIGINT AS n_matches FROM events GROUP BY 1""")
+def windowed_matches(spark, d):
+    return windowed_hits(table(spark, d, "events"), "event_type", "ts", "c")
+
+
+@query(r"SELECT lang, role_hit, count(*) AS n FROM (SELECT lang, regexp_matches(text, '[%*#]{3}') AS role_hit FROM documents) GROUP BY CUBE (lang, role_hit)")
+def junk_cube(spark, d):
+    return table(spark, d, "documents").select("lang", rx.matches("text", "[%*#]{3}").alias("role_hit")).cube("lang", "role_hit").agg(F.count("*").alias("n"))
