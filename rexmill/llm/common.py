@@ -107,5 +107,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Data
     """
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20))
     limit = int(min(1.0, 0.95 * most / max(1, labels.count())) * (1 << 20))
-    lab = labels.filter(part < limit).withColumnRenamed("doc_id", "lab_id")
-    return lab, docs.filter(part < limit).join(lab.select("lab_id"), docs["doc_id"] == F.col("lab_id"), "left_semi")
+    lab = stash(labels.filter(part < limit).withColumnRenamed("doc_id", "lab_id"), "labels")
+    # the sample's ids are few by construction; their number is checked before they are broadcast
+    side = F.broadcast(lab) if lab.count() <= 2 * most else lab
+    return side, docs.filter(part < limit).join(side.select("lab_id"), docs["doc_id"] == F.col("lab_id"), "left_semi")

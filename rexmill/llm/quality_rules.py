@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
     """Learn from at most ``max_labelled`` rows with a label (quality 0 is bad), by the hash of doc_id."""
     lab, sample = labelled_sample(docs, labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lab")), max_labelled)
     featured = with_features(text_stats(sample))
-    rows = featured.join(lab, featured["doc_id"] == lab["lab_id"]).select("doc_id", "lab", *FEATURES).orderBy("doc_id", *FEATURES).limit(max_labelled).toPandas()
+    rows = featured.join(lab, F.col("doc_id") == F.col("lab_id")).select("doc_id", "lab", *FEATURES).orderBy("doc_id", *FEATURES).limit(max_labelled).toPandas()
     if not len(rows):
         return []
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["lab"].to_numpy() == 0, **how)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices, to_batch
+from .common import labelled_sample, slices, stash, to_batch
 
 #: Labelled documents that the model is fitted on.
 MAX_LABELLED = 20_000
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             yield to_batch(schema, batch.column("doc_id"), [sorted(words_of(t)) for t in batch.column("text").to_pylist()])
 
     token_rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tokens, "doc_id long, words array<string>")
-    rows = token_rows.join(lab, token_rows["doc_id"] == lab["lab_id"]).select("doc_id", "grade", "words")
+    rows = stash(token_rows.join(lab, F.col("doc_id") == F.col("lab_id")).select("doc_id", "grade", "words"), "toxic-sample")
     totals = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     n, toxic = sum(totals.values()), sum(c for g, c in totals.items() if g)
     if not toxic or toxic == n:
