@@ -262,4 +262,5 @@ def read_packages(packages: DataFrame) -> DataFrame:
     Directories and indexes are read first, then ranges of records, dealt out evenly. Payloads of responses are checked against length and digest.
     """
     ranges = packages.select("path").mapInArrow(_list, "path string, at long, size long")
-    return ranges.repartition("path", "at").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number isn't coalesced by bytes
+    return ranges.repartition(tasks, "path", "at").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
