@@ -57,17 +57,19 @@ def _kernel(c: Column, p: Plan, fn: Callable, kind: str, missing=None, limits: d
                 return None
             raise
 
-    @F.pandas_udf(T._parse_datatype_string(kind))
+    parsed = T._parse_datatype_string(kind)
+    names = parsed.names if isinstance(parsed, T.StructType) else []
+
+    @F.pandas_udf(parsed)
     def udf(s: pd.Series) -> pd.Series:
         return pd.Series([one(t) for t in s], dtype=object)
 
-    @F.pandas_udf(T._parse_datatype_string(kind))
+    @F.pandas_udf(parsed)
     def udf_struct(s: pd.Series) -> pd.DataFrame:
         rows = [one(t) for t in s]
-        names = T._parse_datatype_string(kind).names
         return pd.DataFrame([r if r is not None else dict.fromkeys(names) for r in rows], columns=names)
 
-    run = udf_struct if kind.startswith("struct") else udf
+    run = udf_struct if names else udf
     if not p.required or missing is None:
         return run(c)
     # functions in Python aren't skipped by conditions, so the rows are blanked instead
@@ -113,7 +115,7 @@ def find_span(c, pattern, flags: str = "", tier: str = "", **limits) -> Column:
     c, rx, p = _planned(c, pattern, flags, "find", tier)
     unset = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     if p.native is not None:
-        head = F.octet_length(F.regexp_extract(c, rf"\A([\s\S]*?)(?:{p.native.pattern})", 1))
+        head = F.octet_length(F.regexp_extract(c, rf"\A([\s\S]*?)(?:{_shifted(p.native.pattern)})", 1))
         size = F.octet_length(F.regexp_extract(c, p.native.pattern, 0))
         return F.when(c.rlike(p.native.pattern), F.struct(head.alias("a"), (head + size).alias("b"))).when(c.isNotNull(), unset)
 

@@ -76,6 +76,8 @@ def _single(n: N.Node) -> C.CharSet | None:
         return _single(n.items[0])
     if isinstance(n, N.Str) and len(n.cps) == 1 and not n.ic:
         return C.span(n.cps[0], n.cps[0])
+    if isinstance(n, N.Str) and len(n.cps) == 1 and n.ic == 1 and not C.expansion(n.cps[0]):
+        return C.union(*[C.span(v, v) for v in C.variants(n.cps[0])])
     if isinstance(n, N.Set) and not n.ic:
         return n.set
     if isinstance(n, N.Any) and not n.segment:
