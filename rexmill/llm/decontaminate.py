@@ -72,7 +72,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     template = words(templates(tagged(F.col("text"))))
     given = docs.filter("text is not null").select("doc_id", template.alias("template"))
     hashes = F.concat(*[windows(F.col("template"), n) for n in sizes]) if len(sizes) > 1 else windows(F.col("template"), window)
-    seen = given.select("doc_id", F.posexplode(hashes).alias("pos", "h"))
+    seen = given.select("doc_id", F.size("template").alias("n"), F.posexplode(hashes).alias("pos", "h"))
+    # positions within the windows of one size: the shorter sizes' windows come first
+    before, pos = F.lit(0), F.col("pos")
+    for n in sizes[:-1]:
+        before = before + F.greatest(F.col("n") - (n - 1), F.lit(0))
+        pos = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(pos)
+    seen = seen.select("doc_id", pos.alias("pos"), "h") if len(sizes) > 1 else seen.select("doc_id", "pos", "h")
     side = F.broadcast(keys) if small else keys
     hits = stash(seen.join(side, "h", "left_semi"), "bench-hits")
     # a doc's window counts once per distinct hash, so a repeated passage isn't multiplied by itself

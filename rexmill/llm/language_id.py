@@ -89,16 +89,16 @@ class Parser:
         tables, self.roots, base = [], [], 0
         for seq in seqs:
             auto = suffix_automaton(self.code[seq].tolist())
-            t = np.full((len(auto), self.width), -1, np.int32)
+            t = np.full((len(auto) + 1, self.width), -1, np.int32)
             for s, moves in enumerate(auto):
                 for c, to in moves.items():
                     t[s, c] = (base + to) * self.width
             t[:, self.pad] = base * self.width
-            # from the root an unknown symbol is a phrase of its own
-            t[0] = np.where(t[0] < 0, base * self.width, t[0])
+            # from the root an unknown symbol is a phrase of its own: it leads to a state with no way on
+            t[0] = np.where(t[0] < 0, (base + len(auto)) * self.width, t[0])
             self.roots.append(base * self.width)
             tables.append(t)
-            base += len(auto)
+            base += len(auto) + 1
         self.table = np.concatenate(tables).ravel()
 
     def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
