@@ -213,12 +213,12 @@ class Emitter:
             if _has(n.test, N.Group):
                 raise NotNative("captures in a condition")
             test, other = self.emit(n.test), self.emit(N.Look(n.test.body, n.test.behind, not n.test.negative))
-            return f"(?:{test}{yes}|{other}{no})" if no is not None else f"(?:{test}{yes})"
+            return f"(?:{test}{yes}|{other}{no or ''})"
         if isinstance(n.test, N.Node):
             if _has(n.test, N.Group):
                 raise NotNative("captures in a condition")
             body = self.emit(n.test)
-            return f"(?:(?>{body}){yes}|(?!{body}){no})" if no is not None else f"(?>{body}){yes}"
+            return f"(?:(?>{body}){yes}|(?!{body}){no or ''})"
         if any(g not in self.marks for g in n.groups):
             raise NotNative("a condition on a later group")
         marks = [f"\\{self.marks[g]}(?:)" for g in n.groups]

@@ -33,7 +33,10 @@ def width(n: N.Node, compiled: N.Compiled, stack: tuple[int, ...] = ()) -> tuple
         return (0, N.INF) if n.target in stack else width(compiled.bodies[n.target], compiled, (*stack, n.target))
     if isinstance(n, N.Cond):
         y = width(n.yes, compiled, stack)
-        o = width(n.no, compiled, stack) if n.no is not None else y
+        if n.test is True:
+            return y
+        # without an else branch a failed test of a group fails, any other matches empty
+        o = width(n.no, compiled, stack) if n.no is not None else y if n.groups else (0, 0)
         extra = width(n.test, compiled, stack) if isinstance(n.test, N.Node) and not isinstance(n.test, N.Look) else (0, 0)
         return min(y[0] + extra[0], o[0]), max(y[1] + extra[1], o[1])
     if isinstance(n, N.Absent):
