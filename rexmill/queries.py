@@ -11,6 +11,7 @@ from .functions import columns as rx
 from .functions.sql import find_all_table
 from .sources.tables import pattern_table, table, tag_by_patterns
 from .streaming.stateless import windowed_hits
+from .workload import LEXER, LINES, lexer_counts, lines_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,3 +246,23 @@ def windowed_matches(spark, d):
 @query(r"SELECT lang, role_hit, count(*) AS n FROM (SELECT lang, regexp_matches(text, '[%*#]{3}') AS role_hit FROM documents) GROUP BY CUBE (lang, role_hit)")
 def junk_cube(spark, d):
     return table(spark, d, "documents").select("lang", rx.matches("text", "[%*#]{3}").alias("role_hit")).cube("lang", "role_hit").agg(F.count("*").alias("n"))
+
+
+def _lexer_sql(source: str) -> str:
+    counts = [f"SELECT '{label}' AS label, coalesce(sum(len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))), 0)::BIGINT AS n FROM src" for label, p in LEXER.items()]
+    return f"WITH src AS ({source}) " + " UNION ALL ".join(counts)
+
+
+@query(_lexer_sql("SELECT html AS t FROM pages"))
+def lexer_pages(spark, d):
+    """The lexer patterns over all pages, with ASCII types as the SQL has them."""
+    return lexer_counts(table(spark, d, "pages"), "html", "WDS")
+
+
+_LINES_SQL = ", ".join("(" + repr(i) + ", '" + line.replace("'", "''") + "' || chr(10))" for i, line in enumerate(LINES))
+
+
+@query(_lexer_sql(f"SELECT t FROM range(100000) r(i) JOIN (VALUES {_LINES_SQL}) l(k, t) ON r.i % {len(LINES)} = l.k"))
+def lexer_lines(spark, d):
+    """The lexer workload itself: 100,000 lines of source code."""
+    return lexer_counts(lines_table(spark, 100_000), "line")
