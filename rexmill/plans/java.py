@@ -88,6 +88,29 @@ def _single(n: N.Node) -> C.CharSet | None:
     return None
 
 
+def _settled(loop: N.Node, after: N.Node) -> bool:
+    """Can a greedy loop run up to the literal after it in one way only? Then it may keep what it took.
+
+    So it is if its branches are runs of single characters that differ in the
+    first one, and none begins like the literal. All tests are on literal
+    characters, so they are exact.
+    """
+    if not (isinstance(loop, N.Rep) and loop.kind == "greedy" and loop.hi == N.INF and isinstance(after, N.Str) and not after.ic):
+        return False
+    body = loop.body
+    while isinstance(body, N.Group) or (isinstance(body, N.Cat) and len(body.items) == 1):
+        body = body.body if isinstance(body, N.Group) else body.items[0]
+    heads = []
+    for branch in body.items if isinstance(body, N.Alt) else [body]:
+        chars = branch.items if isinstance(branch, N.Cat) else [branch]
+        if not chars or not all((isinstance(x, (N.Str, N.Set)) and not x.ic) or (isinstance(x, N.Any) and not x.segment) for x in chars):
+            return False
+        heads.append(chars[0])
+    literals = [h.cps[0] for h in heads if isinstance(h, N.Str)]
+    sets = [_single(h) for h in heads if not isinstance(h, N.Str)]
+    return len(sets) <= 1 and len({*literals, after.cps[0]}) == len(literals) + 1 and not any(s.test(c) for s in sets for c in (*literals, after.cps[0]))
+
+
 class Emitter:
     def __init__(self, compiled: N.Compiled):
         self.c, self.count, self.number = compiled, 0, {}
@@ -145,7 +168,8 @@ class Emitter:
         raise NotNative(r"\K")
 
     def _cat(self, n):
-        return "".join(self.wrap(x) if isinstance(x, N.Alt) else self.emit(x) for x in n.items)
+        items = [N.Rep(x.body, x.lo, x.hi, "possessive") if _settled(x, after) else x for x, after in zip(n.items, [*n.items[1:], N.Empty()])]
+        return "".join(self.wrap(x) if isinstance(x, N.Alt) else self.emit(x) for x in items)
 
     def _alt(self, n):
         return "|".join(self.emit(x) for x in n.items)
