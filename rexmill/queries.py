@@ -145,12 +145,21 @@ def dup_adjacent_letter(spark, d):
     return table(spark, d, "documents").where(rx.matches("text", r"([aeot])\1")).select("doc_id")
 
 
-@query()
+_EDGE_SQL = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+@query(f"""SELECT doc_id FROM (
+  SELECT doc_id, list_transform(w, lambda x: regexp_extract(x, '(?:^|{_EDGE_SQL})([a-z]{{4,12}})$', 1)) AS a, list_transform(w, lambda x: regexp_extract(x, '^([a-z]{{4,12}})(?:{_EDGE_SQL}|$)', 1)) AS b
+  FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
+WHERE len(list_filter(range(1, len(a)), lambda i: a[i] <> '' AND a[i] = b[i + 1])) > 0""")
 def doubled_word(spark, d):
     return table(spark, d, "documents").where(rx.matches("text", r"\b([a-z]{4,12})\x20\1\b")).select("doc_id")
 
 
-@query()
+_NESTED_SQL = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"  # SQL has no recursion: four levels, more than the tables hold
+
+
+@query(f"SELECT doc_id, regexp_extract(text, '{_NESTED_SQL}', 0) AS hit FROM documents WHERE regexp_matches(text, '{_NESTED_SQL}')")
 def paren_recursion(spark, d):
     return table(spark, d, "documents").select("doc_id", rx.find("text", r"\((?:[^()]++|\g<0>)*\)").alias("hit")).where("hit is not null")
 
@@ -197,9 +206,9 @@ def grapheme_count(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", rx.count("s_name", r"\X").alias("n"))
 
 
-@query()
+@query("SELECT s_suppkey, replace(s_name, '#', '|#|') AS segments FROM supplier")
 def word_segments(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", rx.find_all("s_name", r"(?y{w}).").alias("segments"))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(rx.find_all("s_name", r"(?y{w})."), "|").alias("segments"))
 
 
 _PATTERNS = {"email": EMAIL, "ip": IPV4, "license": "(?i)licen[sc]e", "digits": r"\d{6,}"}
