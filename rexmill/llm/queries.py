@@ -14,7 +14,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_counts(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_counts(table(spark, sf_dir, "documents"), equal_chars=line_dedup.EQUAL_CHARS)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rexmill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, warc
+import corpus_pipeline
+from rexmill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, queries, secret_scan, suffix_dedup, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BIG = 9223372036854775807
@@ -105,6 +106,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_counts(docs.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "menu\n\n- a\nx"), (2, "menu\n\nmena\n- a"), (3, "menu"), (4, " \n \ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_near) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, 0), 2: (4, 2, 0), 3: (1, 1, 0), 4: (3, 0, 0)}
+    docs = spark.createDataFrame([(*r, "l", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {1: (rows[0][1], 11), 2: ("\nmena", 5), 4: (rows[3][1], 5)}
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     assert {(a - b) % 32 for a in suffix_dedup.difference_cover(32) for b in suffix_dedup.difference_cover(32)} == set(range(32))
