@@ -115,6 +115,20 @@ def test_short_lines(spark, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {1: (rows[0][1], 11), 2: ("\nmena", 5), 4: (rows[3][1], 5)}
 
 
+def test_line_dedup_shared_ids(spark):
+    a, b, c, near = "the first line of them all", "another line that is long", "clean text of a null row", "the first line of them alL"
+    rows = [(1, a), (None, f"{a}\n{b}"), (None, c), (None, f"{c}s and more of it"), (7, "one of two texts of id 7"), (7, f"{a}\nthe other text of id 7"), (8, f"{near}\nrest of the document"), (9, "doubled row with this line"), (9, "doubled row with this line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0)).withColumn("doc", F.lit(0))
+    out = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert out == sorted([(1, a), (0, b), (0, c), (0, rows[3][1]), (7, rows[4][1]), (7, "the other text of id 7"), (8, "rest of the document"), *rows[7:]])
+    counts = sorted((r.doc_id or 0, r.n_lines, r.n_equal, r.n_near) for r in line_dedup.dedup_counts(docs).collect())
+    assert counts == [(0, 1, 0, 0), (0, 1, 0, 0), (0, 2, 1, 0), (1, 1, 0, 0), (7, 1, 0, 0), (7, 2, 1, 0), (8, 2, 0, 1), (9, 1, 0, 0), (9, 1, 0, 0)]
+    # rows of one id whose lines have the same numbers: one of two equal or near lines stays
+    tied = spark.createDataFrame([(3, f"{a}\n{b}"), (3, f"{near}\n{b}"), (3, f"{a}\n{c}")], "doc_id long, text string")
+    left = [t for r in line_dedup.dedup_lines(tied).collect() for t in r.text.split("\n")]
+    assert len(left) == 3 and left.count(b) == left.count(c) == 1 and len({a, near} & set(left)) == 1
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     assert {(a - b) % 32 for a in suffix_dedup.difference_cover(32) for b in suffix_dedup.difference_cover(32)} == set(range(32))
