@@ -6,7 +6,10 @@ drop the values and the case. Windows of template words are hash-joined with
 the benchmark's; an item is found in a document that holds at least ``share``
 of its distinct windows. If the item has slots, the values aligned with each of
 its values must agree wherever it recurs, so a question with other numbers is
-caught and a mere mosaic of templates is not.
+caught and a mere mosaic of templates is not. Slots are aligned by the matching
+windows they lie in, so an inserted word shifts nothing. Plain windows, of the
+lower-cased words with their values, are matched beside the templates: a copy of
+an item is found whatever its case and line breaks make of its slots.
 """
 
 from __future__ import annotations
@@ -38,15 +41,32 @@ def templates(tag: Column) -> Column:
     return F.regexp_replace(tag, rf"({_NUM}|{_UNIT}|{_NAME})[\p{{L}}\p{{N}}]+", "$1")
 
 
+def plain(tag: Column) -> Column:
+    """Names and units as bare words again; numbers are told whatever the case, and keep marker and value."""
+    return F.regexp_replace(tag, f"{_UNIT}|{_NAME}", "")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPLIT, -1), lambda w: w != "")
 
 
+def _hashed(tokens: Column, at: Column, size: int) -> Column:
+    return F.transform(at, lambda i: F.xxhash64(*[F.element_at(tokens, i + j) for j in range(size)]))
+
+
 def windows(tokens: Column, size: int) -> Column:
     """Hashes of all windows of ``size`` words, in order."""
     n = F.size(tokens)
     at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.element_at(tokens, i + j) for j in range(size)]))
+    return _hashed(tokens, at, size)
+
+
+def slot_windows(template: Column, bare: Column, size: int) -> Column:
+    """Hashes of the windows of ``bare`` words that hold a slot; the others are those of the template. Null bare: none."""
+    n = F.size(template)
+    slots = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(template, i).isin(_NUM, _UNIT, _NAME))
+    at = F.array_distinct(F.flatten(F.transform(slots, lambda p: F.sequence(F.greatest(p - (size - 1), F.lit(1)), F.least(p, n - (size - 1))))))
+    return F.when(bare.isNotNull() & (n >= size), _hashed(bare, at, size)).otherwise(F.array().cast("array<long>"))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -57,48 +77,58 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     length. Rows that share a doc_id are taken together. The whole of every text
     is read.
     """
-    items = benchmark.select("item_id", tagged(F.col("text")).alias("tag")).withColumn("tokens", words(F.col("tag"))).withColumn("template", words(templates(F.col("tag")))).filter(F.size("template") > 0)
+    items = benchmark.select("item_id", tagged(F.col("text")).alias("tag")).withColumn("tokens", words(F.col("tag"))).withColumn("template", words(templates(F.col("tag")))).withColumn("plain", words(plain(F.col("tag")))).filter(F.size("template") > 0)
     short = sorted(r["n"] for r in items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct().collect())
     sizes = [*short, window]
-    of_item = F.lit(None).cast("array<long>")
+    of_item = [F.lit(None).cast("array<long>")] * 2
     for n in sizes:
-        of_item = F.when((F.size("template") == n) if n < window else (F.size("template") >= window), windows(F.col("template"), n)).otherwise(of_item)
+        fits = (F.size("template") == n) if n < window else (F.size("template") >= window)
+        of_item = [F.when(fits, windows(F.col(name), n)).otherwise(one) for name, one in zip(("template", "plain"), of_item)]
     slot = F.exists("template", lambda w: w.isin(_NUM, _UNIT, _NAME))
-    listed = stash(items.select("item_id", slot.alias("has_slots"), F.posexplode(of_item).alias("at", "h")), "bench-windows")
-    totals = listed.groupBy("item_id").agg(F.countDistinct("h").alias("windows"), F.first("has_slots").alias("has_slots"))
-    keys = listed.select("h").distinct()
+    width = F.least(F.size("template"), F.lit(window))
+    both = F.arrays_zip(of_item[0].alias("t"), of_item[1].alias("p"))
+    listed = items.select("item_id", slot.alias("has_slots"), "tokens", width.alias("width"), F.posexplode(both).alias("at", "w"))
+    listed = stash(listed.select("item_id", "has_slots", "at", F.col("w.t").alias("h"), F.col("w.p").alias("p"), F.slice("tokens", F.col("at") + 1, F.col("width")).alias("values")), "bench-windows")
+    as_plain = listed.select("item_id", F.col("p").alias("h"))
+    totals = listed.groupBy("item_id").agg(F.countDistinct("h").alias("windows"), F.countDistinct("p").alias("plain_windows"), F.first("has_slots").alias("has_slots"))
+    keys = listed.select("h").union(as_plain.select("h")).distinct()
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    template = words(templates(tagged(F.col("text"))))
-    given = docs.filter("text is not null").select("doc_id", template.alias("template"))
-    hashes = F.concat(*[windows(F.col("template"), n) for n in sizes]) if len(sizes) > 1 else windows(F.col("template"), window)
+    given = docs.filter("text is not null").select("doc_id", tagged(F.col("text")).alias("tag")).select("doc_id", words(templates(F.col("tag"))).alias("template"), F.when(F.col("tag").rlike(f"{_NUM}|{_UNIT}|{_NAME}"), words(plain(F.col("tag")))).alias("plain"))
+    hashes = F.concat(*[windows(F.col("template"), n) for n in sizes], *[slot_windows(F.col("template"), F.col("plain"), n) for n in sizes])
     seen = given.select("doc_id", F.size("template").alias("n"), F.posexplode(hashes).alias("pos", "h"))
-    # positions within the windows of one size: the shorter sizes' windows come first
+    # positions within the windows of one size: shorter sizes come first, and plain windows, whose positions aren't used, last
     before, pos = F.lit(0), F.col("pos")
     for n in sizes[:-1]:
         before = before + F.greatest(F.col("n") - (n - 1), F.lit(0))
         pos = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(pos)
-    seen = seen.select("doc_id", pos.alias("pos"), "h") if len(sizes) > 1 else seen.select("doc_id", "pos", "h")
+    seen = seen.select("doc_id", pos.alias("pos"), "h")
     side = F.broadcast(keys) if small else keys
     hits = stash(seen.join(side, "h", "left_semi"), "bench-hits")
     # a doc's window counts once per distinct hash, so a repeated passage isn't multiplied by itself
-    per = hits.select("doc_id", "h").distinct().join(listed.select("item_id", "h").distinct(), "h")
-    found = per.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched")).join(totals, "item_id").filter(F.col("matched") >= share * F.col("windows"))
-    found = stash(found.select("doc_id", "item_id", "matched", "windows", "has_slots"), "bench-found")
+    once = hits.select("doc_id", "h").distinct()
+    of_kind = listed.select("item_id", "h", F.lit(False).alias("exact")).union(as_plain.select("item_id", "h", F.lit(True))).distinct()
+    per = once.join(of_kind, "h").groupBy("doc_id", "item_id").agg(F.sum(F.when(~F.col("exact"), 1).otherwise(0)).alias("as_template"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("as_plain")).join(totals, "item_id")
+    exact = F.col("as_plain") >= share * F.col("plain_windows")
+    found = per.withColumn("exact", exact).filter(F.col("exact") | (F.col("as_template") >= share * F.col("windows")))
+    found = found.select("doc_id", "item_id", F.when(F.col("exact"), F.col("as_plain")).otherwise(F.col("as_template")).alias("matched"), F.when(F.col("exact"), F.col("plain_windows")).otherwise(F.col("windows")).alias("windows"), (F.col("has_slots") & ~F.col("exact")).alias("has_slots"))
+    found = stash(found, "bench-found")
     slotted = found.filter("has_slots")
     if slotted.limit(1).count() == 0:
         return found.select("doc_id", "item_id", "matched", "windows", F.lit(0).cast("long").alias("slots"), F.lit(True).alias("consistent"))
 
-    # align each pair at its most frequent offset and compare slot values
-    offset = slotted.join(hits, "doc_id").join(listed.select("item_id", "h", "at"), ["item_id", "h"]).groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("off")).count()
-    offset = offset.groupBy("doc_id", "item_id").agg(F.max(F.struct("count", (-F.col("off")).alias("neg"))).alias("m")).select("doc_id", "item_id", (-F.col("m.neg")).alias("off"))
-    doc_tokens = docs.join(offset.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(tagged(F.col("text"))).alias("doc_tokens"))
-    pairs = offset.join(doc_tokens, "doc_id").join(items.select("item_id", "tokens", "template"), "item_id")
-    both = pairs.select("doc_id", "item_id", "off", "doc_tokens", F.posexplode("tokens").alias("i", "want")).filter(F.col("want").rlike(f"^({_NUM}|{_UNIT}|{_NAME})"))
-    got = F.try_element_at("doc_tokens", (F.col("i") + F.col("off") + 1).cast("int"))
-    both = both.filter((F.col("i") + F.col("off")) >= 0).select("doc_id", "item_id", "want", got.alias("got")).filter("got is not null")
-    values = both.groupBy("doc_id", "item_id", "want").agg(F.count("*").alias("n"), F.countDistinct("got").alias("kinds"))
-    check = values.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)).alias("agree"))
+    # align the slots of every matching window with the document's words there
+    a_slot = lambda c: F.col(c).rlike(f"^({_NUM}|{_UNIT}|{_NAME})")
+    aligned = slotted.select("doc_id", "item_id").join(hits, "doc_id").join(listed.select("item_id", "h", "at", "values"), ["item_id", "h"])
+    aligned = aligned.select("doc_id", "item_id", "at", "pos", F.posexplode("values").alias("j", "want")).filter(a_slot("want"))
+    aligned = aligned.select("doc_id", "item_id", "want", (F.col("at") + F.col("j")).alias("i"), (F.col("pos") + F.col("j")).alias("place")).distinct()
+    there = docs.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(words(tagged(F.col("text")))).alias("place", "got")).filter(a_slot("got"))
+    aligned = aligned.join(there, ["doc_id", "place"]).select("doc_id", "item_id", "want", "i", "got").distinct()
+    # an item's value agrees if one value of the document stands at all of its places
+    places = aligned.groupBy("doc_id", "item_id", "want").agg(F.countDistinct("i").alias("n"))
+    most = aligned.groupBy("doc_id", "item_id", "want", "got").agg(F.count("*").alias("k")).groupBy("doc_id", "item_id", "want").agg(F.max("k").alias("k"))
+    values = places.join(most, ["doc_id", "item_id", "want"])
+    check = values.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("k") == F.col("n"), F.col("n")).otherwise(0)).alias("agree"))
     out = found.join(check, ["doc_id", "item_id"], "left")
     agree = F.coalesce(F.col("agree") >= share * F.col("slots"), F.lit(True))
     return out.select("doc_id", "item_id", "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), agree.alias("consistent"))

@@ -277,6 +277,18 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_decontamination_copies(spark):
+    item = "A train leaves town at 40 km and the rider Bob pays 40 dollars for the long trip home today while his brother waits at the old station near the river"
+    docs = [
+        item.replace("and the", "and so the").replace("40", "75"),  # a word more between two places of one value
+        item.lower(), item.upper(), item.replace(" ", "\n"), "so " + item.replace("rider Bob", "rider\nBob") + " ok",
+        item.replace("40 km", "75 km").replace("and the", "and so the"),  # values that disagree
+    ]
+    b = spark.createDataFrame([(0, item), (1, "Ask Ann and Bob"), (2, "so it was said by Carl")], "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(frame(spark, docs + ["well ask ann and\nBOB then"]), b).collect()}
+    assert got == {0: [0], 1: [0], 2: [0], 3: [0], 4: [0], 6: [1]}
+
+
 def test_warc(spark, monkeypatch):
     big = "<html>" + "é" * 80
     rows = [(3, "http://a/1", big), (1, "http://a/2\r\nX: y", big), (2, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", big), (7, "u", "z" * 300_000)]
