@@ -70,6 +70,18 @@ def test_ngram_components(spark, vocab, k, num):
     assert kept == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_keep_one_row(spark, vocab):
+    x, y, z = (words(random.Random(i), 100, vocab) for i in (1, 2, 3))
+    rows = [(3, y), (7, x), (7, y + " end"), (5, z), (5, z), (None, z + " end"), (None, z + " stop"), (None, "a b c d e f"), (None, "a b c d e f"), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(1)).withColumn("kept", F.lit(False))
+    out = ngram_join.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(3, y), (7, x), (5, z), (0, "a b c d e f"), (9, ""), (9, "")])
+    # near copies without ids: one stays
+    null = spark.createDataFrame([(None, x), (None, x + " end")], "doc_id long, text string")
+    assert ngram_join.keep_one_of_each(null).count() == 1
+
+
 def test_ngram_empty(spark):
     assert ngram_join.similar_components(frame(spark, [])).count() == 0
 
