@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,29 +23,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python worker is sent, where the session sets no bound of its own.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``, or of setCheckpointDir.
+
+    Where neither is set, a temporary folder is, in local mode only (tests): the
+    executors of a cluster couldn't see it, so there it is an error.
+    """
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='rexmill-')}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session sends Python workers batches of bounded bytes (a longer row comes alone), unless it has a bound of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+#: Tables stashed in each open scope, and whether its result reads them.
+_SCOPES: list[list[tuple[DataFrame, bool]]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """A scope that deletes the tables stashed in it when it ends, but for kept ones, which the scope around it takes over."""
+    _SCOPES.append(made := [])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for df, kept in made:
+            if not kept:
+                unstash(df)
+            elif _SCOPES:
+                _SCOPES[-1].append((df, False))
+
+
+def scratched(fn):
+    """fn in a scope of its own; what its lazy result reads is stashed with ``keep``."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        with scratch():
+            return fn(*args, **kwargs)
+
+    return run
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    if _SCOPES:
+        _SCOPES[-1].append((out, keep))
     return out
 
 
 def unstash(df: DataFrame) -> None:
-    """Delete what ``stash`` wrote; only for tables no lazy result still reads."""
+    """Delete what ``stash`` wrote; only for tables no lazy result still reads. A table that is gone already is left so."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
