@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger. DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content. A
-ledger has one row per scanned (blob, rule, rule version) with the findings;
-a scan takes only pairs that the ledger lacks, and findings are joined back to
-all paths that hold the blob.
+ledger says for each blob which rules, at which versions, it was scanned by, and
+what they found. A scan takes only the pairs of blob and rule version that the
+ledger lacks, and findings are joined from the ledger back to all paths that
+hold the blob, whichever scan they are from.
 """
 
 from __future__ import annotations
@@ -52,62 +53,98 @@ def _hits(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), pairs).otherwise(empty)
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, text -> blob, rule, version, start, end of every finding (code points, end exclusive).
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, only: tuple[int, ...] | None = None) -> DataFrame:
+    """blob, text -> blob, rule, start, end of every finding (code points, end exclusive); rule is an index into rules.
 
-    Leftmost non-overlapping per rule. Positions are running sums over a blob's
-    matches, so the work is linear in their number.
+    Leftmost non-overlapping per rule. ``only``: the rules to scan by. If blobs
+    has a column ``todo`` (array of rule indexes), a blob is scanned by those
+    alone. Positions are running sums over a blob's matches, so the work is
+    linear in their number.
     """
-    by_rule = F.array(*[F.struct(F.lit(i).alias("rule"), _hits(F.col("text"), r).alias("hits")) for i, r in enumerate(rules)])
+    some = range(len(rules)) if only is None else only
+    empty = F.array().cast("array<struct<gap:int,hit:string>>")
+    hits = {i: _hits(F.col("text"), rules[i]) for i in some}
+    if "todo" in blobs.columns:
+        hits = {i: F.when(F.array_contains("todo", i), h).otherwise(empty) for i, h in hits.items()}
+    by_rule = F.array(*[F.struct(F.lit(i).alias("rule"), h.alias("hits")) for i, h in hits.items()])
     each = blobs.select("blob", F.explode(F.filter(by_rule, lambda x: F.size(x["hits"]) > 0)).alias("r"))
     rows = each.select("blob", F.col("r.rule").alias("rule"), F.posexplode("r.hits").alias("i", "h"))
     w = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("blob", "rule", "i", F.col("h.gap").alias("gap"), F.col("h.hit").alias("hit"), F.length("h.hit").alias("n"))
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(w)).withColumn("start", F.col("end") - F.col("n"))
     kept = F.lit(False)
-    for i, r in enumerate(rules):
+    for i in some:
+        r = rules[i]
         size = F.length(F.regexp_extract("hit", r.pattern, r.group)) if r.group else F.col("n")
         kept = kept | ((F.col("rule") == i) & (size >= r.least))
     return rows.filter(kept).select("blob", "rule", "start", "end")
 
 
+#: A ledger: one row of each blob and scan, with the rule versions scanned by and their findings.
+LEDGER = "blob string, scans array<struct<kind:string,version:int>>, spans array<struct<start:bigint,kind:string,version:int,end:bigint>>"
+
+
+def _versions(history: DataFrame) -> DataFrame:
+    """blob, text of every row; a null text counts as empty."""
+    return history.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def update_ledger(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows for the (blob, rule, version) pairs that ``ledger`` lacks.
+    """New ledger rows (LEDGER) for the pairs of blob and rule version that ``ledger`` lacks.
 
     history: ``text`` (null counts as empty) and any columns of paths and
-    versions. ledger: ``blob, kind, version, spans`` with
-    ``spans: array<struct<start,end>>``. Returns rows of that shape for unseen
-    pairs only; a blob that has no finding gets rows with empty spans, so it
-    isn't scanned again.
+    versions. Only unseen pairs are scanned: rules that no blob lacks aren't in
+    the plan, and of the others a blob runs those it lacks. A blob without
+    findings gets a row as well, so it isn't scanned again; one that lacks
+    nothing gets none. Rules are told by kind and version.
     """
-    blobs = history.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    listed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for i, r in enumerate(rules)])
+    pair = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))
+    listed = F.array(*[pair(r) for r in rules])
     if ledger is None:
-        found = scan_blobs(blobs, rules)
-        todo = blobs.select("blob", F.explode(listed).alias("r")).select("blob", "r.*")
+        given = _versions(history).select("blob").distinct()
+        found, scans = scan_blobs(_versions(history).dropDuplicates(["blob"]), rules), listed
     else:
-        # only pairs that the ledger lacks; a blob none of whose rules is new isn't read on
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
-        open_ = blobs.join(seen, "blob", "left").withColumn("todo", F.filter(listed, lambda x: ~F.coalesce(F.array_contains("seen", F.struct(x["kind"].alias("kind"), x["version"].alias("version"))), F.lit(False))))
-        open_ = open_.filter(F.size("todo") > 0)
-        todo = open_.select("blob", F.explode("todo").alias("r")).select("blob", "r.*")
-        found = scan_blobs(open_.select("blob", "text"), rules)
-    spans = found.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return todo.join(spans, ["blob", "rule"], "left").select("blob", "kind", "version", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
-
-
-def findings_by_path(history: DataFrame, found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows of history with ``spans: array<struct<start,rule,end>>`` in order of start, then rule."""
-    per_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("spans"))
+        seen = ledger.select("blob", F.explode("scans").alias("s")).groupBy("blob").agg(F.collect_set("s").alias("seen"))
+        lacks = lambda i: ~F.coalesce(F.array_contains("seen", pair(rules[i])), F.lit(False))
+        todo = F.filter(F.array(*[F.when(lacks(i), F.lit(i)) for i in range(len(rules))]), lambda i: i.isNotNull())
+        given = _versions(history).select("blob").distinct().join(seen, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
+        given = stash(given, "secret-todo")
+        # which rules are in the plan at all: one number for each rule
+        some = given.agg(*[F.max(F.array_contains("todo", i)).alias(str(i)) for i in range(len(rules))]).first()
+        only = tuple(i for i in range(len(rules)) if some[i])
+        if not only:
+            return history.sparkSession.createDataFrame([], LEDGER)
+        found, scans = scan_blobs(_versions(history).join(given, "blob").dropDuplicates(["blob"]), rules, only), F.transform("todo", lambda i: F.element_at(listed, i + 1))
+    name = F.element_at(listed, F.col("rule") + 1)
+    spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", name["kind"].alias("kind"), name["version"].alias("version"), "end"))).alias("spans"))
+    out = given.join(spans, "blob", "left")
+    none = F.array().cast("array<struct<start:bigint,kind:string,version:int,end:bigint>>")
+    return out.select("blob", scans.alias("scans"), F.coalesce("spans", none).alias("spans"))
+
+
+def findings_by_path(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows of history, without text, with ``spans: array<struct<start,rule,end>>`` in order of start, then rule.
+
+    The findings of the given rule versions in all scans of the ledger; other
+    versions' aren't taken. A blob that the ledger lacks has none.
+    """
+    number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(i))])
+    each = ledger.filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"))
+    each = each.select("blob", F.struct(F.col("s.start").alias("start"), F.element_at(number, F.concat_ws(":", "s.kind", "s.version")).alias("rule"), F.col("s.end").alias("end")).alias("s")).filter("s.rule is not null")
+    # a table of its own, so that a hot blob's paths can be dealt to several tasks
+    per_blob = stash(each.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans")), "secret-spans")
     keyed = history.withColumn("blob", blob_id(F.col("text"))).drop("text")
     return keyed.join(per_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")))
 
 
-def scan_paths(history: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan a history against an empty ledger: distinct blobs once, findings joined back to all rows."""
-    blobs = history.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    found = stash(scan_blobs(blobs, rules), "secret-findings")
-    return findings_by_path(history, found, rules)
+def scan_paths(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Bring the ledger up to date with a history; returns (findings_by_path, the whole ledger).
+
+    history: any columns beside ``text``, but for ``blob`` and ``spans``, which are the result's own.
+    """
+    new = stash(update_ledger(history, ledger, rules), "secret-ledger")
+    whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
+    return findings_by_path(history, whole, rules), whole
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
