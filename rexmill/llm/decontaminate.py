@@ -69,15 +69,22 @@ def slot_windows(template: Column, bare: Column, size: int) -> Column:
     return F.when(bare.isNotNull() & (n >= size), _hashed(bare, at, size)).otherwise(F.array().cast("array<long>"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Names a row by its doc_id, which may be null, and its text: rows that share an id are told apart, equal rows are one."""
+    return F.xxhash64(doc_id.isNull(), doc_id.cast("long"), text)
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """Pairs ``doc_id, item_id, matched, windows, slots, consistent`` of found items.
+    """Pairs ``row, item_id, matched, windows, slots, consistent`` of found items; ``row`` is the row_key.
 
-    docs: ``doc_id, text``; benchmark: ``item_id, text``. Null and empty texts
-    match nothing. An item of fewer words than a window is one window of its own
-    length. Rows that share a doc_id are taken together. The whole of every text
-    is read.
+    docs: ``doc_id, text``; benchmark: ``item_id, text``; other columns are
+    ignored. Null and empty texts match nothing, in an empty table nothing is
+    found. An item of fewer words than a window is one window of its own length;
+    rows that share an item_id are one item, those without one are ignored. The
+    whole of every text is read.
     """
-    items = benchmark.select("item_id", tagged(F.col("text")).alias("tag")).withColumn("tokens", words(F.col("tag"))).withColumn("template", words(templates(F.col("tag")))).withColumn("plain", words(plain(F.col("tag")))).filter(F.size("template") > 0)
+    docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    items = benchmark.filter("item_id is not null").select("item_id", tagged(F.col("text")).alias("tag")).withColumn("tokens", words(F.col("tag"))).withColumn("template", words(templates(F.col("tag")))).withColumn("plain", words(plain(F.col("tag")))).filter(F.size("template") > 0)
     short = sorted(r["n"] for r in items.filter(F.size("template") < window).select(F.size("template").alias("n")).distinct().collect())
     sizes = [*short, window]
     of_item = [F.lit(None).cast("array<long>")] * 2
@@ -94,53 +101,60 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     keys = listed.select("h").union(as_plain.select("h")).distinct()
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    given = docs.filter("text is not null").select("doc_id", tagged(F.col("text")).alias("tag")).select("doc_id", words(templates(F.col("tag"))).alias("template"), F.when(F.col("tag").rlike(f"{_NUM}|{_UNIT}|{_NAME}"), words(plain(F.col("tag")))).alias("plain"))
+    given = docs.filter("text is not null").select("row", tagged(F.col("text")).alias("tag")).select("row", words(templates(F.col("tag"))).alias("template"), F.when(F.col("tag").rlike(f"{_NUM}|{_UNIT}|{_NAME}"), words(plain(F.col("tag")))).alias("plain"))
     hashes = F.concat(*[windows(F.col("template"), n) for n in sizes], *[slot_windows(F.col("template"), F.col("plain"), n) for n in sizes])
-    seen = given.select("doc_id", F.size("template").alias("n"), F.posexplode(hashes).alias("pos", "h"))
+    seen = given.select("row", F.size("template").alias("n"), F.posexplode(hashes).alias("pos", "h"))
     # positions within the windows of one size: shorter sizes come first, and plain windows, whose positions aren't used, last
     before, pos = F.lit(0), F.col("pos")
     for n in sizes[:-1]:
         before = before + F.greatest(F.col("n") - (n - 1), F.lit(0))
         pos = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(pos)
-    seen = seen.select("doc_id", pos.alias("pos"), "h")
+    seen = seen.select("row", pos.alias("pos"), "h")
     side = F.broadcast(keys) if small else keys
     hits = stash(seen.join(side, "h", "left_semi"), "bench-hits")
     # a doc's window counts once per distinct hash, so a repeated passage isn't multiplied by itself
-    once = hits.select("doc_id", "h").distinct()
+    once = hits.select("row", "h").distinct()
     of_kind = listed.select("item_id", "h", F.lit(False).alias("exact")).union(as_plain.select("item_id", "h", F.lit(True))).distinct()
-    per = once.join(of_kind, "h").groupBy("doc_id", "item_id").agg(F.sum(F.when(~F.col("exact"), 1).otherwise(0)).alias("as_template"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("as_plain")).join(totals, "item_id")
+    per = once.join(of_kind, "h").groupBy("row", "item_id").agg(F.sum(F.when(~F.col("exact"), 1).otherwise(0)).alias("as_template"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("as_plain")).join(totals, "item_id")
     exact = F.col("as_plain") >= share * F.col("plain_windows")
     found = per.withColumn("exact", exact).filter(F.col("exact") | (F.col("as_template") >= share * F.col("windows")))
-    found = found.select("doc_id", "item_id", F.when(F.col("exact"), F.col("as_plain")).otherwise(F.col("as_template")).alias("matched"), F.when(F.col("exact"), F.col("plain_windows")).otherwise(F.col("windows")).alias("windows"), (F.col("has_slots") & ~F.col("exact")).alias("has_slots"))
+    found = found.select("row", "item_id", F.when(F.col("exact"), F.col("as_plain")).otherwise(F.col("as_template")).alias("matched"), F.when(F.col("exact"), F.col("plain_windows")).otherwise(F.col("windows")).alias("windows"), (F.col("has_slots") & ~F.col("exact")).alias("has_slots"))
     found = stash(found, "bench-found")
     slotted = found.filter("has_slots")
     if slotted.limit(1).count() == 0:
-        return found.select("doc_id", "item_id", "matched", "windows", F.lit(0).cast("long").alias("slots"), F.lit(True).alias("consistent"))
+        return found.select("row", "item_id", "matched", "windows", F.lit(0).cast("long").alias("slots"), F.lit(True).alias("consistent"))
 
     # align the slots of every matching window with the document's words there
     a_slot = lambda c: F.col(c).rlike(f"^({_NUM}|{_UNIT}|{_NAME})")
-    aligned = slotted.select("doc_id", "item_id").join(hits, "doc_id").join(listed.select("item_id", "h", "at", "values"), ["item_id", "h"])
-    aligned = aligned.select("doc_id", "item_id", "at", "pos", F.posexplode("values").alias("j", "want")).filter(a_slot("want"))
-    aligned = aligned.select("doc_id", "item_id", "want", (F.col("at") + F.col("j")).alias("i"), (F.col("pos") + F.col("j")).alias("place")).distinct()
-    there = docs.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(words(tagged(F.col("text")))).alias("place", "got")).filter(a_slot("got"))
-    aligned = aligned.join(there, ["doc_id", "place"]).select("doc_id", "item_id", "want", "i", "got").distinct()
+    aligned = slotted.select("row", "item_id").join(hits, "row").join(listed.select("item_id", "h", "at", "values"), ["item_id", "h"])
+    aligned = aligned.select("row", "item_id", "at", "pos", F.posexplode("values").alias("j", "want")).filter(a_slot("want"))
+    aligned = aligned.select("row", "item_id", "want", (F.col("at") + F.col("j")).alias("i"), (F.col("pos") + F.col("j")).alias("place")).distinct()
+    there = docs.join(slotted.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(words(tagged(F.col("text")))).alias("place", "got")).filter(a_slot("got"))
+    aligned = aligned.join(there, ["row", "place"]).select("row", "item_id", "want", "i", "got").distinct()
     # an item's value agrees if one value of the document stands at all of its places
-    places = aligned.groupBy("doc_id", "item_id", "want").agg(F.countDistinct("i").alias("n"))
-    most = aligned.groupBy("doc_id", "item_id", "want", "got").agg(F.count("*").alias("k")).groupBy("doc_id", "item_id", "want").agg(F.max("k").alias("k"))
-    values = places.join(most, ["doc_id", "item_id", "want"])
-    check = values.groupBy("doc_id", "item_id").agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("k") == F.col("n"), F.col("n")).otherwise(0)).alias("agree"))
-    out = found.join(check, ["doc_id", "item_id"], "left")
+    places = aligned.groupBy("row", "item_id", "want").agg(F.countDistinct("i").alias("n"))
+    most = aligned.groupBy("row", "item_id", "want", "got").agg(F.count("*").alias("k")).groupBy("row", "item_id", "want").agg(F.max("k").alias("k"))
+    values = places.join(most, ["row", "item_id", "want"])
+    check = values.groupBy("row", "item_id").agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("k") == F.col("n"), F.col("n")).otherwise(0)).alias("agree"))
+    out = found.join(check, ["row", "item_id"], "left")
     agree = F.coalesce(F.col("agree") >= share * F.col("slots"), F.lit(True))
-    return out.select("doc_id", "item_id", "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), agree.alias("consistent"))
+    return out.select("row", "item_id", "matched", "windows", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), agree.alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """doc_id, n_items and the sorted item ids of documents that hold an item with consistent slots."""
+    """row (see row_key), n_items and the sorted item ids of rows that hold an item with consistent slots."""
     found = find_items(docs, benchmark, window, share).filter("consistent")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return found.groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def tag_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """Every row of docs: ``doc_id, n_items, items, contaminated``; rows without a doc_id and rows that share one are judged by their own texts."""
+    bad = contaminated(docs, benchmark, window, share)
+    out = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row")).join(bad, "row", "left")
+    return out.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast(bad.schema["items"].dataType)).alias("items"), F.col("n_items").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """docs without contaminated ones; rows with a null doc_id stay unless another null row is contaminated."""
-    bad = contaminated(docs, benchmark, window, share).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """docs without the rows that hold an item; all columns as they were."""
+    bad = contaminated(docs, benchmark, window, share).select(F.col("row").alias("__bad"))
+    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == F.col("__bad"), "left_anti")
