@@ -41,14 +41,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found, _ = secret_scan.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_scan.digest(found)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    bad = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    out = docs.select("doc_id").join(bad, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.col("n_items").isNotNull().alias("contaminated"))
+    out = decontaminate.tag_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,53 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y) AS component_i
 FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
 """
 
+# a line within one edit of another agrees with it in its first or its second half, by the shorter one's length
+_OP2 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT doc_id, no, line FROM l WHERE length(line) >= {line_dedup.MIN_CHARS} OR regexp_matches(line, '[^\x20\x09-\x0D]')
+), f AS (
+  SELECT line, length(line) AS n, min({{'d': doc_id, 'n': no}}) AS pos FROM t GROUP BY line
+), k AS (
+  SELECT line, n, pos, unnest([{{'m': n, 'side': 0, 'part': substr(line, 1, n // 2)}}, {{'m': n, 'side': 1, 'part': substr(line, n // 2 + 1)}},
+    {{'m': n - 1, 'side': 0, 'part': substr(line, 1, (n - 1) // 2)}}, {{'m': n - 1, 'side': 1, 'part': substr(line, (n - 1) // 2 + 2)}}]) AS key
+  FROM f WHERE n >= {line_dedup.MIN_CHARS}
+), p AS (
+  SELECT DISTINCT a.line AS line, least(a.line, b.line) AS u, greatest(a.line, b.line) AS v FROM k a JOIN k b ON a.key = b.key AND a.line <> b.line AND b.pos < a.pos AND abs(a.n - b.n) <= 1
+), near AS (
+  SELECT DISTINCT line FROM (SELECT line, CASE WHEN length(u) <= length(v) THEN u ELSE v END AS x, CASE WHEN length(u) <= length(v) THEN v ELSE u END AS y FROM p)
+  WHERE len(list_filter(range(1, length(y) + 1), lambda i: substr(x, 1, i - 1) = substr(y, 1, i - 1) AND substr(x, i + CASE WHEN length(x) = length(y) THEN 1 ELSE 0 END) = substr(y, i + 1))) > 0
+), c AS (
+  SELECT t.doc_id, count(*) FILTER (WHERE f.pos <> {{'d': t.doc_id, 'n': t.no}}) AS n_equal, count(*) FILTER (WHERE f.pos = {{'d': t.doc_id, 'n': t.no}} AND near.line IS NOT NULL) AS n_near
+  FROM t JOIN f ON t.line = f.line LEFT JOIN near ON near.line = t.line GROUP BY t.doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
+FROM documents d LEFT JOIN c USING (doc_id)
+"""
+
+# every 200-byte string of every text, as 400 hex digits
+_OP3 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(n - 199)) AS p, unnest(list_transform(range(n - 199), lambda p: hash(substr(h, 2 * p + 1, 400)))) AS g FROM d WHERE n >= 200
+), r AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1
+), s AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (
+    SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+      SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r))
+  GROUP BY doc_id, run
+), z AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list([a, b] ORDER BY a) AS spans, max(b) AS last FROM s GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE
+    array_to_string(list_transform(range(1, len(spans) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE spans[i - 1][2] END) + 1, 2 * (spans[i][1] - CASE WHEN i = 1 THEN 0 ELSE spans[i - 1][2] END))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
+
 _OP10 = """
 SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
   CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id <> min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
@@ -113,4 +159,4 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1, "op8_secret_scan": _OP8, "op10_warc": _OP10}
+ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1, "op2_line_dedup": _OP2, "op3_suffix_array_dedup": _OP3, "op8_secret_scan": _OP8, "op10_warc": _OP10}

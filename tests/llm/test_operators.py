@@ -1,10 +1,16 @@
 """Each operator against brute force or a round trip on small tables with nulls, ties and odd columns."""
 
+import base64
 import collections
+import dataclasses
+import gzip
 import hashlib
 import io
+import itertools
+import json
 import random
 import re
+import resource
 import zipfile
 
 import numpy as np
@@ -13,7 +19,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rexmill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, queries, secret_scan, suffix_dedup, toxicity, warc
+from rexmill.llm import common, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, queries, secret_scan, suffix_dedup, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BIG = 9223372036854775807
@@ -32,9 +38,13 @@ def vocab():
     return [f"w{i}" for i in range(400)]
 
 
-@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
-def test_ngram_components(spark, vocab, k, num):
+@pytest.mark.parametrize("k,num,small", [(3, 90, None), (5, 80, None), (5, 80, 3)])
+def test_ngram_components(spark, vocab, monkeypatch, k, num, small):
     rng = random.Random(k)
+    if small:  # the buckets of all grids are too large, so blocks decide
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        monkeypatch.setattr(ngram_join, "BLOCK", 16)
+        monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 32)
     texts = [None, "", "  ", "one", "One", "a b", "A b", "a b c"]
     base = words(rng, 120, vocab).split()
     for i in range(90):  # near copies of one text, more than a small bucket holds
@@ -47,6 +57,12 @@ def test_ngram_components(spark, vocab, k, num):
         texts.append(" ".join(t))
         t[len(t) // 2] = "changed"
         texts.append(" ".join(t))
+    for i in range(30):  # much alike, mostly without being linked: hubs don't settle them
+        t = list(base)
+        for j in rng.sample(range(len(t)), 5):
+            t[j] = f"x{i}.{j}"
+        texts.append(" ".join(t))
+    texts += texts[20:24]
     sets = []
     for t in texts:
         w = WORDS.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -70,6 +86,20 @@ def test_ngram_components(spark, vocab, k, num):
     assert kept == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_segments_on_every_grid():
+    """Any two linked sets share a segment on each grid."""
+    rng = np.random.default_rng(5)
+    for grid in range(4):
+        for n in (1, 2, 5, 9, 10, 11, 40, 150, 900):
+            for num in (80, 90):
+                x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                most = (100 - num) * len(x) // 100
+                y = np.unique(np.r_[x[most:], rng.integers(0, 1 << 63, max(0, most // 2 - 1)).astype(np.uint64)])
+                o = len(np.intersect1d(x, y))
+                if 100 * o >= num * (len(x) + len(y) - o) and len(x) != o:
+                    assert len(np.intersect1d(ngram_join.segment_keys(x, num, 100, grid), ngram_join.segment_keys(y, num, 100, grid))), (grid, n, num)
+
+
 def test_keep_one_row(spark, vocab):
     x, y, z = (words(random.Random(i), 100, vocab) for i in (1, 2, 3))
     rows = [(3, y), (7, x), (7, y + " end"), (5, z), (5, z), (None, z + " end"), (None, z + " stop"), (None, "a b c d e f"), (None, "a b c d e f"), (9, ""), (9, "")]
@@ -141,6 +171,18 @@ def test_line_dedup_shared_ids(spark):
     assert len(left) == 3 and left.count(b) == left.count(c) == 1 and len({a, near} & set(left)) == 1
 
 
+def test_line_dedup_sizes(spark):
+    """A document of many lines is rebuilt in linear time; long lines have near matches like short ones."""
+    long = "".join(random.Random(2).choice("abcdefgh ") for _ in range(30_000))
+    rows = [(1, "the same line over and over\n" * 60_000 + "end"), (2, "the same line over and over\nnew"), (3, long), (4, long[:9_000] + "#" + long[9_000:]), (5, long[:9_000] + "##" + long[9_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, equal_chars=1).collect()}
+    blanks = [x for x in out[1].split("\n") if x]
+    assert blanks == ["the same line over and over", "end"] and out[2] == "new"
+    # 4 goes as a near match of 3, and 5, two edits from 3, as one of 4
+    assert out[3] == long and 4 not in out and 5 not in out
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     assert {(a - b) % 32 for a in suffix_dedup.difference_cover(32) for b in suffix_dedup.difference_cover(32)} == set(range(32))
@@ -175,24 +217,70 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def fill(sizes, weights, most=3):
+    """Targets by plain rounds."""
+    target, full = {}, set()
+    total = sum(sizes)
+    while True:
+        left = total - sum(most * sizes[i] for i in full)
+        weight = sum(weights[i] for i in range(len(sizes)) if i not in full)
+        target = [most * sizes[i] if i in full else left * weights[i] / weight for i in range(len(sizes))]
+        more = {i for i in range(len(sizes)) if target[i] > most * sizes[i]}
+        if not more:
+            return target
+        full |= more
+
+
 def test_mixing(spark):
     rng = random.Random(2)
-    rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "b", "c", "d", None])) for i in range(600)] + [(1000, None, "a"), (1001, "x y", "z"), (1001, "x y", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("p", F.lit(1)).withColumn("size", F.lit("s"))
+    rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "b", "c", "d", None])) for i in range(600)] + [(1000, None, "a"), (1001, "x y", "z"), (1001, "x y", "z"), (None, "x y z", "z"), (None, "x y z", "z"), (1002, "long " * 5000, "b"), (1003, "", "\U0001F600"), (1004, "q", "\uFFFD")]
+    rows += [(2000, "same words here", "a")] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("p", F.lit(1)).withColumn("size", F.lit("s")).withColumn("h", F.lit(0)).withColumn("c", F.lit(9))
     out = mixing.mix(docs, block=50).collect()
-    assert len(out) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in out)
-    by = collections.defaultdict(lambda: [0, 0, 0.0])
+    assert len(out) == len(rows) and all(r.taken == r.copies * r["size"] and 0 <= r.copies <= 3 for r in out)
+    assert sorted((str(r.doc_id), r["size"], str(r.source)) for r in out) == sorted((str(d), len((t or "").split()), str(s)) for d, t, s in rows)
+    by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
     for r in out:
         by[r.source][0] += r["size"]
         by[r.source][1] += r.taken
         by[r.source][2] = r.target
-    assert abs(sum(t for _, _, t in by.values()) - sum(s for s, _, _ in by.values())) < 1e-6
-    for size, taken, target in by.values():
-        assert target <= 3 * size + 1e-9 and abs(taken - target) <= 3
-    key = lambda rs: sorted((r.doc_id, r.taken) for r in rs)
+        assert r.source_size == sum(len((t or "").split()) for _, t, s in rows if s == r.source)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    want = fill([by[s][0] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])
+    assert np.allclose([by[s][2] for s in order], want)
+    for size, taken, target, _ in by.values():
+        assert abs(taken - target) <= max(2, 0.002 * target) or size < 20
+    # equal rows are taken alike, but for the one that is left to chance
+    assert len({r.copies for r in out if r.doc_id == 2000}) <= 2
+    key = lambda rs: sorted((str(r.doc_id), r["size"], r.taken) for r in rs)
     assert key(out) == key(mixing.mix(docs.repartition(7), block=50).collect())
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.water_fill([10, 100], [5, 1]) == [30.0, 80.0]
+
+
+def test_mixing_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rows = [(1, "a b c", "s")] * 100 + [(2, "d e", "t")] * 33
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert collections.Counter(r.doc_id for r in out) == {1: 100, 2: 33} and abs(sum(r.taken for r in out) - 366) <= 2
+
+
+def test_landing():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        size, p = rng.integers(1, 30, 8).astype(float), rng.random(8)
+        got = mixing.landing(p, size, float(size @ p))
+        best = min(abs(size @ np.array(c) - size @ p) for c in itertools.product((0, 1), repeat=8))
+        assert set(got) <= {0.0, 1.0} and abs(abs(size @ got - size @ p) - best) < 1e-5
+    size, p = rng.integers(1, 500, 300).astype(float), rng.random(300)
+    x = np.column_stack([np.ones(300), size])
+    q = mixing.flight(p, x)
+    assert np.allclose(x.T @ q, x.T @ p) and ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
+
+
+def test_ranks(spark):
+    names = ["b", "a", None, "\U0001F600", "\uFFFD", "", "é", "Z"] + [f"s{i}" for i in range(50)]
+    got = {r.source: r["rank"] for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()}
+    assert got == {n: i for i, n in enumerate(sorted((n for n in names if n is not None), key=lambda x: [ord(c) for c in x]) + [None])}
 
 
 def test_language(spark):
@@ -204,15 +292,43 @@ def test_language(spark):
     assert out[500].lang_pred == out[501].lang_pred == "und" and out[502].lang_pred == "xx"
     assert all(out[i].lang_pred == lang and 0 <= out[i].score <= 1 for i, _, lang in rows)
     assert {r.lang_pred for r in language_id.identify(docs.filter("lang is null")).collect()} == {"und"}
-    # phrases of one text by direct search
-    sample = (("a", "abcabd"),)
-    text, n, i = "abcxabd", 0, 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and text[i : j + 1] in "abcabd":
-            j += 1
-        n, i = n + 1, j
-    assert language_id.Parser(sample).phrases([language_id.symbols(text)])[0, 0] == n
+    empty = docs.limit(0)
+    assert language_id.identify(empty).count() == 0
+    twice = docs.filter("doc_id < 3").unionByName(docs.filter("doc_id < 3"))
+    assert twice.count() == language_id.identify(twice).count()
+
+
+def phrases(text, sample):
+    """Longest-match parsing of each block by direct search."""
+    n = 0
+    for at in range(0, len(text), language_id.BLOCK):
+        part, i = text[at : at + language_id.BLOCK], 0
+        while i < len(part):
+            j = i + 1
+            while j < len(part) and part[i : j + 1] in sample:
+                j += 1
+            n, i = n + 1, j
+    return n
+
+
+def test_phrases():
+    rng = random.Random(8)
+    samples = tuple((str(k), "".join(rng.choice("abcde fgh" + chr(200 + k)) for _ in range(2000))) for k in range(3))
+    parser = language_id.Parser(samples)
+    texts = ["abcxabd", "", "a", "hello wörld " * 100, samples[1][1][100:900], "é" * 600]
+    got = parser.phrases([language_id.symbols(t) for t in texts])
+    plain = lambda t: "".join(map(chr, language_id.symbols(t)))
+    assert got.tolist() == [[phrases(plain(t), plain(s)) for _, s in samples] for t in texts]
+
+
+def test_large_alphabets():
+    """Automata take memory by their samples, not by states times letters."""
+    rng = random.Random(9)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    samples = tuple((str(k), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30_000))) for k in range(2))
+    parser = language_id.Parser(samples)
+    assert parser.phrases([language_id.symbols(samples[0][1][:1000])])[0].tolist()[0] == 4
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
 
 
 def test_toxicity(spark):
@@ -228,10 +344,42 @@ def test_toxicity(spark):
     docs = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     lab = spark.createDataFrame(labels + [(0, None, None), (900, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, lab)
-    assert set(model.words) == {"vile", "nasty"} and model.theta[0] < model.theta[1]
+    assert {"vile", "nasty"} <= set(model.words) <= toxicity.features_of(["vile", "nasty"]) and model.theta[0] < model.theta[1]
     out = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert {i for i in range(400) if out[i].toxic} == set(range(0, 400, 5)) and not out[900].toxic and not out[901].toxic
     assert not any(r.toxic for r in toxicity.score(docs, toxicity.fit(docs, lab.limit(0))).collect())
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), lab)).count() == 0
+    twice = toxicity.score(docs.filter("doc_id = 5").union(docs.filter("doc_id = 5")), model).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].toxic
+    # forms that weren't seen share what a beginning teaches
+    z = model.predictors(["vilest words of all", "words of all", None, "a " * 100_000 + "nasty"])
+    assert z[0] > z[1] == z[2] < z[3]
+
+
+def test_ordinal_fit():
+    """The fit is near the optimum that plain gradient steps find."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(5) < 0.3) for _ in range(300)]
+    true = np.array([2.0, 1.0, 0.5, 0.0, 1.5])
+    z = np.array([true[r].sum() for r in rows]) + rng.logistic(size=300)
+    grade = (z > 1.5).astype(int) + (z > 3)
+
+    def loss(w, theta, l2=0.3):
+        m = toxicity.Model((), (), tuple(theta))
+        p = m.probabilities(np.array([w[r].sum() for r in rows]))
+        return -np.log(p[np.arange(300), grade]).sum() + l2 * (w**2).sum() / 2
+
+    w, theta = toxicity.fit_ordinal(rows, grade, 5, l2=0.3)
+    best = loss(w, theta)
+    assert theta[0] < theta[1] and (w >= 0).all()
+    for _ in range(300):  # no point near it is better
+        assert loss(np.maximum(w + rng.normal(0, 0.1, 5), 0), theta + rng.normal(0, 0.1, 2)) > best - 0.05
+
+
+def test_cut():
+    p, toxic = np.array([0.9, 0.8, 0.3, 0.2, 0.2, 0.1]), np.array([1, 1, 1, 0, 0, 0], bool)
+    assert toxicity.best_cut(p, toxic) == 0.25
+    assert toxicity.best_cut(p[:1], toxic[:1]) == 0.45
 
 
 def test_quality(spark):
@@ -256,7 +404,7 @@ def test_quality(spark):
 def test_secrets(spark):
     texts = [None, "", 'é password: "abcdefghij12", token=short AKIA' + "A1" * 9 + " x", "deadbeefdeadbeef0 api_key=deadbeefdeadbeefff", "-----BEGIN RSA PRIVATE KEY-----", 'token=secret: abcdefghijklmnop']
     docs = frame(spark, texts + texts[2:3]).withColumn("blob", F.lit(1)).withColumn("spans", F.lit(1))
-    found = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan_paths(docs.select("doc_id", "text"))).collect()}
+    found = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan_paths(docs.select("doc_id", "text"))[0]).collect()}
     for i, t in enumerate(texts + texts[2:3]):
         want = []
         for k, rule in enumerate(secret_scan.RULES):
@@ -266,12 +414,30 @@ def test_secrets(spark):
         assert found[i].spans == ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(want))
         base = ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in sorted(want) if secret_scan.RULES[k].base)
         assert found[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-    ledger = secret_scan.update_ledger(docs)
-    assert ledger.count() == len(set(t or "" for t in texts)) * len(secret_scan.RULES)
-    assert secret_scan.update_ledger(docs, ledger.select("blob", "kind", "version")).count() == 0
-    newer = (secret_scan.Rule("hex", r"[0-9a-f]{8,}", 8, version=2),)
-    again = secret_scan.update_ledger(docs, ledger, newer).collect()
-    assert len(again) == 5 and sum(len(r.spans) > 0 for r in again) == 1
+    assert secret_scan.digest(secret_scan.scan_paths(docs.select("doc_id", "text").limit(0))[0]).count() == 0
+
+
+def test_ledger(spark):
+    first = spark.createDataFrame([("a", 1, "deadbeefdeadbeef"), ("b", 1, "nothing"), ("c", 1, None)], "path string, v int, text string")
+    found, ledger = secret_scan.scan_paths(first)
+    assert ledger.count() == 3 and all(len(r.scans) == len(secret_scan.RULES) for r in ledger.collect())
+    # a second version of the history: only the new blob is scanned, old findings reach new paths
+    second = first.unionByName(spark.createDataFrame([("a", 2, "AKIA" + "Z" * 16), ("d", 2, "deadbeefdeadbeef"), ("b", 2, "nothing")], first.schema))
+    new = secret_scan.update_ledger(second, ledger)
+    assert [len(r.spans) for r in new.collect()] == [1]
+    found, ledger = secret_scan.scan_paths(second, ledger)
+    spans = {(r.path, r.v): [(s.start, secret_scan.RULES[s.rule].kind, s.end) for s in r.spans] for r in found.collect()}
+    assert spans == {("a", 1): [(0, "hex", 16)], ("b", 1): [], ("c", 1): [], ("a", 2): [(0, "access", 20)], ("d", 2): [(0, "hex", 16)], ("b", 2): []}
+    assert ledger.count() == 4 and secret_scan.update_ledger(second, ledger).count() == 0
+    # one rule bumped: the plan holds that rule only, and its findings replace the old version's
+    bumped = tuple(dataclasses.replace(r, version=2, pattern="[0-9a-z]{7,}", least=7) if r.kind == "hex" else r for r in secret_scan.RULES)
+    again = secret_scan.update_ledger(second, ledger, bumped)
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert "[0-9a-z]{7,}" in plan and "AKIA" not in plan and "eyJ" not in plan
+    assert sorted(len(r.spans) for r in again.collect()) == [0, 0, 1, 1] and all(r.scans == [("hex", 2)] for r in again.collect())
+    found, ledger = secret_scan.scan_paths(second, ledger, bumped)
+    spans = {(r.path, r.v): [(s.start, s.end) for s in r.spans] for r in found.collect()}
+    assert spans["b", 2] == spans["b", 1] == [(0, 7)] and spans["a", 1] == [(0, 16)] and spans["a", 2] == [(0, 20)]
 
 
 def test_decontamination(spark):
@@ -283,7 +449,7 @@ def test_decontamination(spark):
     ]
     d = frame(spark, docs).withColumn("pos", F.lit(0))
     b = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(7, None), (8, "")], "item_id long, text string").withColumn("h", F.lit(0))
-    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(d.select("doc_id", "text"), b).collect()}
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.tag_contaminated(d, b).collect() if r.contaminated}
     assert got == {0: [0], 5: [1], 6: [2]}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()) == [1, 2, 3, 4, 7]
     assert decontaminate.contaminated(d.limit(0), b).count() == 0
@@ -297,10 +463,44 @@ def test_decontamination_copies(spark):
         item.replace("40 km", "75 km").replace("and the", "and so the"),  # values that disagree
     ]
     b = spark.createDataFrame([(0, item), (1, "Ask Ann and Bob"), (2, "so it was said by Carl")], "item_id long, text string")
-    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(frame(spark, docs + ["well ask ann and\nBOB then"]), b).collect()}
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.tag_contaminated(frame(spark, docs + ["well ask ann and\nBOB then"]), b).collect() if r.contaminated}
     assert got == {0: [0], 1: [0], 2: [0], 3: [0], 4: [0], 6: [1]}
 
 
+def test_decontamination_rows(spark):
+    """Rows without an id and rows that share one are judged by their own texts; the second of two occurrences counts."""
+    item = "A train leaves town at 40 km and the rider Bob pays 40 dollars for the long trip home today"
+    twisted = item.replace("40 km", "75 km").replace("40 dollars", "31 dollars")
+    rows = [(None, item), (None, "clean text without an id"), (7, item), (7, "clean text of id seven"), (8, item), (8, item), (9, f"{twisted}. And then: {item}"), (10, twisted), (11, "word " * 50_000 + item)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("items", F.lit(0)).withColumn("n_items", F.lit(0))
+    b = spark.createDataFrame([(0, item), (0, item), (None, "clean text of id seven")], "item_id long, text string")
+    out = decontaminate.tag_contaminated(d, b).collect()
+    assert sorted((r.doc_id or 0, r.contaminated) for r in out) == [(0, False), (0, True), (7, False), (7, True), (8, True), (8, True), (9, True), (10, False), (11, True)]
+    left = decontaminate.drop_contaminated(d, b)
+    assert left.columns == d.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, rows[1][1]), (7, rows[3][1]), (10, twisted)])
+    assert decontaminate.tag_contaminated(d, b.limit(0)).filter("contaminated").count() == 0
+
+
+def test_decontamination_windows(spark):
+    """Items without slots: found where 0.8 of their distinct windows are, by brute force."""
+    rng = random.Random(12)
+    vocab = [f"{a}{b}" for a in "bdfgklm" for b in ("ab", "en", "ir", "ol")]
+    items = [[rng.choice(vocab) for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        t = [rng.choice(vocab) for _ in range(20)]
+        for _ in range(2):
+            copy = list(rng.choice(items))
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            t += copy + [rng.choice(vocab)]
+        docs.append(t)
+    windows = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    want = {i: sorted(k for k, item in enumerate(items) if len(windows(item, n := min(5, len(item))) & windows(t, n)) >= 0.8 * len(windows(item, n))) for i, t in enumerate(docs)}
+    got = decontaminate.tag_contaminated(frame(spark, [" ".join(t) for t in docs]), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {r.doc_id: list(r["items"]) for r in got} == want
+
+
 def test_warc(spark, monkeypatch):
     big = "<html>" + "é" * 80
     rows = [(3, "http://a/1", big), (1, "http://a/2\r\nX: y", big), (2, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (None, "u", big), (7, "u", "z" * 300_000)]
@@ -325,8 +525,78 @@ def test_zip64(monkeypatch):
     f = pa.BufferReader(data)
     ranges = warc.record_ranges(f, len(data), 1)
     assert len(ranges) == 5
-    blocks = [b for at, n in ranges for _, b in warc.parse_records(f.read_at(n, at))]
+    blocks = [b for at, n, _ in ranges for _, b in warc.parse_records([f.read_at(n, at)])]
     assert [len(b.partition(b"\r\n\r\n")[2]) for b in blocks] == list(range(5))
     with pytest.raises(ValueError):
         warc.central_directory(pa.BufferReader(b"no zip"), 6)
     assert io.BytesIO(data).read(4) == b"PK\x03\x04"
+
+
+def foreign(kind, rid, block, *extra):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:{rid}", "a line of no use", "WARC-Date: 2024-01-01T00:00:00Z", *extra, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+BODY = b"<p>hello</p>" * 50
+RECORDS = [
+    foreign("warcinfo", "<urn:uuid:0>", b"software: x\r\n"),
+    foreign("response", "<urn:uuid:1>", b"HTTP/1.1 200 OK\r\nServer: x\r\n folded\r\nTransfer-Encoding: chunked\r\n\r\n%x;a=b\r\n" % len(BODY) + BODY + b"\r\n0\r\n\r\n", "WARC-Target-URI: http://a"),
+    foreign("request", "<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n"),
+    foreign("response", "<urn:uuid:3>", b"HTTP/1.1 200 OK\r\n\r\nplain", f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(b'plain').digest()).decode()}"),
+    foreign("revisit", "<urn:uuid:4>", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: sha1:ABC"),
+    foreign("resource", "<urn:uuid:5>", b"raw bytes"),
+]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000, 1 << 30])
+def test_record_streams(step):
+    for data in (b"".join(RECORDS), b"".join(map(gzip.compress, RECORDS)), gzip.compress(b"".join(RECORDS))):
+        rows = [warc.page_of(h, b) for h, b in warc.parse_records(data[i : i + step] for i in range(0, len(data), step))]
+        assert [r and r[4] for r in rows] == [None, "response", None, "response", "revisit", "resource"]
+        assert rows[1][1:4] == ("http://a", len(BODY), hashlib.sha256(BODY).hexdigest()) and rows[1][6] == BODY
+        assert rows[3][6] == b"plain" and rows[5][6] == b"raw bytes" and rows[4][8] == "<urn:uuid:1>"
+    with pytest.raises(ValueError):
+        list(warc.parse_records([RECORDS[1][:-30]]))
+    with pytest.raises(ValueError):
+        warc.page_of(*next(warc.parse_records([RECORDS[3].replace(b"plain", b"plaim")])))
+
+
+def test_foreign_packages(spark, tmp_path):
+    """Packages of other writers: compressed or missing indexes, deflated members."""
+    members, lines, at = [gzip.compress(r) for r in RECORDS], [], 0
+    for m in members:
+        lines.append("com,a)/ 2024 " + json.dumps({"filename": "archive/d.warc.gz", "offset": str(at), "length": str(len(m))}))
+        at += len(m)
+    paths = []
+    for mode in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        for index in ("indexes/index.cdx.gz", "indexes/index.cdxj", None):
+            paths.append((str(tmp_path / f"{len(paths)}.wacz"),))
+            with zipfile.ZipFile(paths[-1][0], "w", mode) as z:
+                z.writestr("archive/d.warc.gz", b"".join(members))
+                z.writestr("archive/", b"")
+                text = "\n".join(lines).encode()
+                if index:
+                    z.writestr(index, gzip.compress(text) if index.endswith("gz") else text)
+    out = warc.read_packages(spark.createDataFrame(paths, "path string")).collect()
+    assert collections.Counter(r.record_id for r in out) == {f"<urn:uuid:{i}>": 6 for i in (1, 3, 4, 5)}
+    assert all(r.page_id is None and r.refers_to is None for r in out) and {r.payload_bytes for r in out if r.record_type == "response"} == {600, 5}
+
+
+def test_memory_of_long_texts():
+    """Anchors of one long text are found piece by piece."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 9 << 20, dtype=np.uint8).tobytes()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    i, start, count, pos, a = suffix_dedup.runs([text])
+    assert int(count.sum()) == len(text) - 199 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
+
+
+def test_shared_folder(spark):
+    folder = common.shared_dir(spark)
+    assert folder
+    with common.scratch():
+        gone = common.stash(spark.range(3).toDF("a"), "t")
+        kept = common.stash(spark.range(3).toDF("a"), "t", keep=True)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._stash_path)
