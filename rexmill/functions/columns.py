@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..operators import api
 from ..operators.api import Regex, regex
 from ..operators.vm import CALL_LIMIT, STEP_LIMIT
-from ..plans.planner import Plan, java_template, plan
+from ..plans.planner import Plan, java_template, marked, plan
 
 SPAN = "struct<a:int,b:int>"
 MATCH = f"struct<found:boolean,boundaries:array<{SPAN}>>"
@@ -101,7 +101,7 @@ def find(c, pattern, flags: str = "", start: int = 0, tier: str = "", **limits)
     """Text of the leftmost match, null without one."""
     c, rx, p = _planned(c, pattern, flags, "find", tier, start=start)
     if p.native is not None:
-        return F.when(c.rlike(p.native.pattern), F.regexp_extract(c, p.native.pattern, 0))
+        return F.when(c.rlike(p.native.pattern), F.regexp_extract(c, p.native.pattern, p.native.keep[1]))
 
     def fn(t, **k):
         m = api.search(rx, t, start, **k)
@@ -110,14 +110,19 @@ def find(c, pattern, flags: str = "", start: int = 0, tier: str = "", **limits)
     return _kernel(c, p, fn, "string", F.lit(None).cast("string") if not start else None, _limits(limits))
 
 
+def _native_span(c: Column, pattern: str, anchored: bool = False) -> Column:
+    """Byte span of the leftmost match, or of one at the beginning, where there is one."""
+    size = F.octet_length(F.regexp_extract(c, rf"\A(?:{pattern})" if anchored else pattern, 0))
+    head = F.lit(0) if anchored else F.octet_length(F.regexp_extract(c, rf"\A([\s\S]*?)(?:{_shifted(pattern)})", 1))
+    return F.struct(head.alias("a"), (head + size).alias("b"))
+
+
 def find_span(c, pattern, flags: str = "", tier: str = "", **limits) -> Column:
     """Byte span of the leftmost match; (-1, -1) without one."""
-    c, rx, p = _planned(c, pattern, flags, "find", tier)
+    c, rx, p = _planned(c, pattern, flags, "span", tier)
     unset = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     if p.native is not None:
-        head = F.octet_length(F.regexp_extract(c, rf"\A([\s\S]*?)(?:{_shifted(p.native.pattern)})", 1))
-        size = F.octet_length(F.regexp_extract(c, p.native.pattern, 0))
-        return F.when(c.rlike(p.native.pattern), F.struct(head.alias("a"), (head + size).alias("b"))).when(c.isNotNull(), unset)
+        return F.when(c.rlike(p.native.pattern), _native_span(c, p.native.pattern)).when(c.isNotNull(), unset)
 
     def fn(t, **k):
         a, b = api.match_span(api.search(rx, t, **k))
@@ -126,15 +131,21 @@ def find_span(c, pattern, flags: str = "", tier: str = "", **limits) -> Column:
     return F.when(c.isNotNull(), _kernel(c, p, fn, SPAN, unset, _limits(limits)))
 
 
-def find_struct(c, pattern, flags: str = "", start: int = 0, **limits) -> Column:
-    """found and boundaries of the leftmost match: byte spans of the match and all groups."""
-    c, rx, p = _planned(c, pattern, flags, "spans", "", start=start)
+def find_struct(c, pattern, flags: str = "", start: int = 0, tier: str = "", **limits) -> Column:
+    """found and boundaries of the leftmost match: byte spans of the match and all groups. Native without groups."""
+    c, rx, p = _planned(c, pattern, flags, "spans", tier, start=start)
+    if p.native is not None:
+        hit = F.struct(F.lit(True).alias("found"), F.array(_native_span(c, p.native.pattern)).alias("boundaries"))
+        return F.when(c.rlike(p.native.pattern), hit).when(c.isNotNull(), _no_match())
     return F.when(c.isNotNull(), _kernel(c, p, lambda t, **k: _to_match(api.search(rx, t, start, **k)), MATCH, _no_match() if not start else None, _limits(limits)))
 
 
-def match_at(c, pattern, pos: int = 0, flags: str = "", **limits) -> Column:
-    """found and boundaries of a match that begins exactly at byte ``pos``."""
-    c, rx, p = _planned(c, pattern, flags, "spans", "")
+def match_at(c, pattern, pos: int = 0, flags: str = "", tier: str = "", **limits) -> Column:
+    """found and boundaries of a match that begins exactly at byte ``pos``. Native at 0 without groups."""
+    c, rx, p = _planned(c, pattern, flags, "spans", tier, start=pos)
+    if p.native is not None:
+        hit = F.struct(F.lit(True).alias("found"), F.array(_native_span(c, p.native.pattern, anchored=True)).alias("boundaries"))
+        return F.when(c.rlike(rf"\A(?:{p.native.pattern})"), hit).when(c.isNotNull(), _no_match())
     return F.when(c.isNotNull(), _kernel(c, p, lambda t, **k: _to_match(api.match_at(rx, t, pos, **k)), MATCH, None, _limits(limits)))
 
 
@@ -172,14 +183,26 @@ def backward_struct(c, pattern, flags: str = "", start: int = -1, **limits) -> C
     return F.when(c.isNotNull(), _kernel(c, p, lambda t, **k: _to_match(api.search_backward(rx, t, start, **k)), MATCH, None, _limits(limits)))
 
 
+def _group_text(c: Column, rx: Regex, p: Plan, i: int) -> Column | None:
+    """Text of group i where the pattern occurs, null if it took no part; None if Java can't tell."""
+    if i == 0 or _surely(rx, i):
+        return F.regexp_extract(c, p.native.pattern, p.native.groups[i - 1] if i else p.native.keep[1])
+    m = marked(rx.pattern, rx.flags)
+    if m is None:
+        return None
+    # the first match as a whole, then whether the group's mark is set in it
+    took = c.rlike(rf"\A(?>[\s\S]*?(?>{m.pattern}))\{m.marks[i - 1]}(?:)")
+    return F.when(took, F.regexp_extract(c, p.native.pattern, p.native.groups[i - 1]))
+
+
 def extract(c, pattern, group: int | str = 0, flags: str = "", tier: str = "", **limits) -> Column:
     """Text of a group of the leftmost match; null if there is no match or the group took no part."""
-    c, rx, p = _planned(c, pattern, flags, "extract", tier)
+    c, rx, p = _planned(c, pattern, flags, "extract" if group else "find", tier)
     i = rx.capture_index(group) if isinstance(group, str) else group
     if i < 0 or i > rx.capture_count:
         return F.lit(None).cast("string")
-    if p.native is not None and (i == 0 or _surely(rx, i)):
-        return F.when(c.rlike(p.native.pattern), F.regexp_extract(c, p.native.pattern, p.native.groups[i - 1] if i else 0))
+    if p.native is not None and (got := _group_text(c, rx, p, i)) is not None:
+        return F.when(c.rlike(p.native.pattern), got)
 
     def fn(t, **k):
         m = api.search(rx, t, **k)
@@ -210,9 +233,10 @@ def extract_struct(c, pattern, flags: str = "", tier: str = "", **limits) -> Col
     names: dict[str, int] = {}
     for name, i in rx.named_captures or [(f"g{i}", i - 1) for i in range(1, rx.capture_count + 1)]:
         names.setdefault(name, i + 1)
-    if p.native is not None and all(_surely(rx, i) for i in names.values()):
-        texts = [F.regexp_extract(c, p.native.pattern, p.native.groups[i - 1]).alias(n) for n, i in names.items()]
-        return F.when(c.rlike(p.native.pattern), F.struct(*texts))
+    if p.native is not None:
+        texts = {n: _group_text(c, rx, p, i) for n, i in names.items()}
+        if texts and all(t is not None for t in texts.values()):
+            return F.when(c.rlike(p.native.pattern), F.struct(*[t.alias(n) for n, t in texts.items()]))
 
     def fn(t, **k):
         m = api.search(rx, t, **k)
@@ -225,9 +249,9 @@ def extract_struct(c, pattern, flags: str = "", tier: str = "", **limits) -> Col
 def find_all(c, pattern, group: int = 0, flags: str = "", tier: str = "", **limits) -> Column:
     """Texts of all matches, or of a group of each (null where it took no part)."""
     c, rx, p = _planned(c, pattern, flags, "find_all", tier)
-    if p.native is not None and (group == 0 or _surely(rx, group)):
-        return F.regexp_extract_all(c, F.lit(p.native.pattern), F.lit(p.native.groups[group - 1] if group else 0))
-    fn = lambda t, **k: [api.span_text(t, m[group]) for m in api.find_all(rx, t, **k)]
+    if p.native is not None and (group == 0 or (_surely(rx, group) and not p.native.loose)):
+        return F.regexp_extract_all(c, F.lit(p.native.pattern), F.lit(p.native.groups[group - 1] if group else p.native.keep[1]))
+    fn = lambda t, **k: api.find_all_text(rx, t, group, **k)
     return _kernel(c, p, fn, "array<string>", F.array().cast("array<string>"), _limits(limits))
 
 
@@ -249,12 +273,21 @@ def count(c, pattern, flags: str = "", tier: str = "", **limits) -> Column:
 
 def replace(c, pattern, template: str, count: int = 0, flags: str = "", tier: str = "", **limits) -> Column:
     """Replace all matches (or the first ``count``) by a template: $0 $1 ${name} $$."""
-    c, rx, p = _planned(c, pattern, flags, "replace", tier, count=count)
-    api.template_parts(rx, template)
-    if p.native is not None:
+    c, rx, p = _planned(c, pattern, flags, "replace", tier)
+    parts = api.template_parts(rx, template)
+    if p.native is not None and not count:
         if p.native.literal is not None and "$" not in template:
             return F.replace(c, F.lit(p.native.literal), F.lit(template))
         return F.regexp_replace(c, F.lit(p.native.pattern), F.lit(java_template(rx, p.native, template)))
+    if p.native is not None:
+        # the pieces around the first matches, with what replaces these; an unset group's text is empty
+        texts = {g: F.regexp_extract_all(c, F.lit(p.native.pattern), F.lit(p.native.groups[g - 1] if g else 0)) for g in {x for x in parts if not isinstance(x, str)}}
+        pieces = F.split(c, p.native.pattern, count + 1)
+        zipped = F.arrays_zip(pieces.alias("piece"), *[t.alias(f"g{g}") for g, t in texts.items()])
+        joined = F.transform(zipped, lambda x, i: F.concat(x["piece"], *[F.lit(y) if isinstance(y, str) else F.coalesce(x[f"g{y}"], F.lit("")) for y in parts]))
+        # the last piece has no match behind it
+        whole = F.concat(F.array_join(F.slice(joined, F.lit(1), F.size(pieces) - 1), ""), F.element_at(pieces, -1))
+        return F.when(F.size(pieces) < 2, c).otherwise(whole)
     return _kernel(c, p, lambda t, **k: api.replace(rx, t, template, count, **k), "string", c, _limits(limits))
 
 
@@ -268,7 +301,13 @@ def split(c, pattern, max_split: int = 0, flags: str = "", tier: str = "", **lim
     """Pieces between matches, with group texts in between."""
     c, rx, p = _planned(c, pattern, flags, "split", tier)
     if p.native is not None:
-        return F.split(c, p.native.pattern, max_split + 1 if max_split else -1)
+        pieces = F.split(c, p.native.pattern, max_split + 1 if max_split else -1)
+        if not rx.capture_count:
+            return pieces
+        groups = [F.regexp_extract_all(c, F.lit(p.native.pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(p.native.groups)]
+        zipped = F.slice(F.arrays_zip(pieces.alias("piece"), *groups), F.lit(1), F.size(pieces) - 1)
+        between = F.flatten(F.transform(zipped, lambda x: F.array(x["piece"], *[x[f"g{i}"] for i in range(len(groups))])))
+        return F.concat(between, F.array(F.element_at(pieces, -1)))
     return _kernel(c, p, lambda t, **k: api.split(rx, t, max_split, **k), "array<string>", F.array(c), _limits(limits))
 
 
@@ -289,13 +328,23 @@ def group_count(m: Column) -> Column:
     return F.greatest(F.size(m["boundaries"]) - 1, F.lit(0))
 
 
-def captured(m: Column, i: int) -> Column:
-    return capture_span(m, i)["a"] >= 0
+def _index(i: int | str, pattern, flags: str) -> int:
+    """0-based number of a group; a name needs the pattern."""
+    if isinstance(i, int):
+        return i
+    if pattern is None:
+        raise TypeError("a group's name needs the pattern")
+    return regex(pattern, flags).capture_index(i) - 1 if regex(pattern, flags).capture_index(i) > 0 else -1
+
+
+def captured(m: Column, i: int | str, pattern=None, flags: str = "") -> Column:
+    """Did group i (0-based, or a name of ``pattern``) take part? False if there is none."""
+    return capture_span(m, _index(i, pattern, flags))["a"] >= 0
 
 
-def capture_text(c, m: Column, i: int) -> Column:
-    """Text of group i (0-based) cut from the subject by bytes; null if unset."""
-    s = capture_span(m, i)
+def capture_text(c, m: Column, i: int | str, pattern=None, flags: str = "") -> Column:
+    """Text of group i (0-based, or a name of ``pattern``) cut from the subject by bytes; null if unset."""
+    s = capture_span(m, _index(i, pattern, flags))
     cut = F.decode(F.substr(_col(c).cast("binary"), s["a"] + 1, s["b"] - s["a"]), "UTF-8")
     return F.when(s["a"] >= 0, cut)
 

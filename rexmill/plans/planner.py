@@ -20,6 +20,15 @@ class Plan:
     min_width: float
 
 
+@functools.lru_cache(4096)
+def marked(pattern: str, flags: str) -> Native | None:
+    """Java's form with a group that tells for each capture whether it is set; None if there is none."""
+    try:
+        return to_java(regex(pattern, flags).compiled, marked=True)
+    except NotNative:
+        return None
+
+
 @functools.lru_cache(4096)
 def _plan(pattern: str, flags: str) -> Plan:
     c = regex(pattern, flags).compiled
@@ -39,16 +48,20 @@ def plan(rx: Regex, op: str, template: str | None = None, count: int = 0, start:
     why = ""
     if op in ("find_all", "count", "replace", "split") and not p.min_width:
         why = "empty matches"
-    elif op == "split" and rx.capture_count:
-        why = "groups in split"
-    elif op == "replace" and count:
-        why = "a limited replacement"
-    elif op in ("spans", "find_all_spans", "replace_with", "captures"):
+    elif op in ("find_all_spans", "replace_with", "captures"):
+        why = "spans of all matches"
+    elif op == "spans" and rx.capture_count:
         why = "spans of groups"
     elif start:
         why = "a start position"
     elif op == "backward" and any(isinstance(x, N.Look) and x.behind for x in N.walk(rx.compiled.root)):
         why = "lookbehind in a backward search"
+    elif p.native.keep[1] and op not in ("matches", "find", "find_all", "count"):
+        why = r"\K where the match's start counts"
+    elif p.native.loose and rx.capture_count and op in ("extract", "replace", "split"):
+        why = "groups that calls set"
+    elif p.native.chained and op in ("backward", "spans", "span", "split", "extract"):
+        why = r"\G inside another pattern"
     return Plan("kernel", why, None, p.required, p.min_width) if why else p
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import matches
 from ..operators.api import regex
 from ..plans.planner import plan
 
@@ -14,17 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pattern_table(spark: SparkSession, patterns: dict[str, str], flags: str = "") -> DataFrame:
-    """label, java of patterns that run natively; others are an error, so a join can use rlike."""
-    rows = []
-    for label, pattern in patterns.items():
-        p = plan(regex(pattern, flags), "matches")
-        if p.native is None:
-            raise ValueError(f"{label}: {p.reason}")
-        rows.append((label, p.native.pattern))
-    return spark.createDataFrame(rows, "label string, java string")
-
-
-def tag_by_patterns(df: DataFrame, text: Column | str, patterns: DataFrame) -> DataFrame:
-    """Rows of df for each pattern of a (small, driver-made) pattern table that occurs in ``text``."""
-    col = F.col(text) if isinstance(text, str) else text
-    return df.join(F.broadcast(patterns), F.regexp_like(col, F.col("java"))).drop("java")
+    """label, pattern, tier and the literal that a match needs, of a table of patterns."""
+    rows = [(label, p, plan(rx := regex(p, flags), "matches").tier, plan(rx, "matches").required) for label, p in patterns.items()]
+    return spark.createDataFrame(rows, "label string, pattern string, tier string, required string")
+
+
+def tag_by_patterns(df: DataFrame, text: Column | str, patterns: dict[str, str], flags: str = "") -> DataFrame:
+    """Rows of df for each of the patterns that occurs in ``text``, with its ``label``.
+
+    The patterns are known when the plan is made, so each is a constant of one
+    scan, whatever its tier; a text is tested by all of them where it is read.
+    """
+    hit = [F.when(matches(text, p, flags), F.lit(label)) for label, p in patterns.items()]
+    labels = F.filter(F.array(*hit), lambda x: x.isNotNull()) if hit else F.array().cast("array<string>")
+    return df.select("*", F.explode(labels).alias("label"))
