@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import constructs
 from .functions import columns as rx
 from .functions.sql import find_all_table
-from .sources.tables import pattern_table, table, tag_by_patterns
+from .functions.sql import sql as rx_sql
+from .sources.tables import table, tag_by_patterns
 from .streaming.stateless import windowed_hits
 from .workload import LEXER, LINES, lexer_counts, lines_table
 
@@ -216,7 +218,7 @@ _PATTERNS = {"email": EMAIL, "ip": IPV4, "license": "(?i)licen[sc]e", "digits":
 
 @query(f"SELECT label, count(*) AS n FROM documents JOIN (VALUES ('email', '{EMAIL}'), ('ip', '{_IPV4_SQL}'), ('license', '(?i)licen[sc]e'), ('digits', '\\p{{Nd}}{{6,}}')) t(label, p) ON regexp_matches(text, p) GROUP BY label")
 def pattern_table_join(spark, d):
-    return tag_by_patterns(table(spark, d, "documents").select("text"), "text", pattern_table(spark, _PATTERNS)).groupBy("label").agg(F.count("*").alias("n"))
+    return tag_by_patterns(table(spark, d, "documents").select("text"), "text", _PATTERNS).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id AND (regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{_IPV4_SQL}')))")
@@ -257,6 +259,107 @@ def junk_cube(spark, d):
     return table(spark, d, "documents").select("lang", rx.matches("text", "[%*#]{3}").alias("role_hit")).cube("lang", "role_hit").agg(F.count("*").alias("n"))
 
 
+@query("SELECT s_suppkey, regexp_extract(s_name, '^[^0-9]*') || CAST(CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT) AS VARCHAR) AS name FROM supplier")
+def replace_callback(spark, d):
+    """Replacement by a function of the spans: numbers without leading zeros."""
+    name = rx.replace_with("s_name", r"\d+", lambda spans, text: str(int(text[slice(*spans[0])])))
+    return table(spark, d, "supplier").select("s_suppkey", name.alias("name"))
+
+
+@query("SELECT c_custkey, '8 .. ' || (9 + length(regexp_extract(c_name, '0+'))) AS whole, 2 + 1 AS n, true AS has_mark, false AS has_x, '#' AS mark, NULL::VARCHAR AS x, regexp_extract(c_name, '0+') AS zeros FROM customer")
+def match_accessors(spark, d):
+    """Accessors of a match by number and by name; unset groups are null."""
+    pattern = r"(?<mark>#)(?<x>x)?(?<zeros>0+)"
+    m = F.col("m")
+    hits = table(spark, d, "customer").select("c_custkey", "c_name", rx.find_struct("c_name", pattern).alias("m"))
+    named = {k: rx.capture_text("c_name", m, k, pattern).alias(k) for k in ("mark", "x", "zeros")}
+    return hits.select("c_custkey", rx.span_text(rx.match_span(m)).alias("whole"), rx.group_count(m).alias("n"), rx.captured(m, 0).alias("has_mark"), rx.captured(m, "x", pattern).alias("has_x"), *named.values())
+
+
+@query("SELECT '(?<y>\\d{4})-(?<m>\\d\\d)' AS pattern, 2 AS capture_count, 'y=0,m=1' AS names")
+def pattern_metadata(spark, d):
+    out = rx.describe(spark, r"(?<y>\d{4})-(?<m>\d\d)")
+    names = F.array_join(F.transform("named_captures", lambda x: F.concat_ws("=", x["name"], x["idx"])), ",")
+    return out.select("pattern", "capture_count", names.alias("names"))
+
+
+@query("SELECT c_custkey, true AS gave_up FROM customer")
+def step_limit_null(spark, d):
+    """A search that passes its step limit is null instead of an error."""
+    return table(spark, d, "customer").select("c_custkey", rx.matches("c_name", r"(?:\w|\w\w|#)*\g<0>?z", step_limit=200, on_error="null").isNull().alias("gave_up"))
+
+
+@query("SELECT c_custkey, regexp_extract(c_name, '0{1,4}') AS zeros FROM customer")
+def call_limit(spark, d):
+    """Calls deeper than the limit fail without an error."""
+    return table(spark, d, "customer").select("c_custkey", rx.find("c_name", r"(?<p>0\g<p>?)", call_limit=3).alias("zeros"))
+
+
+@query("SELECT c_custkey, 'Cust|m|' || substr(c_name, 8) AS pieces, substr(c_name, 1, 4) || '<o>m<e>' || substr(c_name, 8) AS marked FROM customer")
+def limited_pieces(spark, d):
+    """The first pieces of a split, and the first replacements with a group."""
+    pieces = F.array_join(rx.split("c_name", "[aeio]", 2), "|")
+    return table(spark, d, "customer").select("c_custkey", pieces.alias("pieces"), rx.replace("c_name", "([aeio])", "<$1>", count=2).alias("marked"))
+
+
+@query("SELECT c_custkey, substr(c_name, 13) AS rest, '9 .. ' || (9 + length(regexp_extract(c_name, '0+'))) AS zeros, '17 .. 18' AS tail, '8 .. 9' AS mark FROM customer")
+def positions(spark, d):
+    """Searches from a position: forward, exactly there, and backward."""
+    text = lambda m: rx.span_text(rx.match_span(m))
+    return table(spark, d, "customer").select("c_custkey", rx.find("c_name", r"\d+", start=12).alias("rest"), text(rx.match_at("c_name", "0+", 9)).alias("zeros"), text(rx.backward_struct("c_name", r"\d")).alias("tail"), text(rx.backward_struct("c_name", r"\W", start=12)).alias("mark"))
+
+
+@query(f"(SELECT doc_id FROM documents WHERE regexp_matches(text, '{EMAIL}') INTERSECT SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)the')) EXCEPT SELECT doc_id FROM documents WHERE regexp_matches(text, '{_IPV4_SQL}') UNION ALL SELECT doc_id FROM documents WHERE regexp_matches(text, '[%*#]{{3}}')")
+def set_operations(spark, d):
+    docs = table(spark, d, "documents")
+    of = lambda p, flags="": docs.where(rx.matches("text", p, flags)).select("doc_id")
+    return of(EMAIL).intersect(of("the", "i")).exceptAll(of(IPV4)).union(of("[%*#]{3}"))
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n, sum(len(regexp_extract_all(event_type, 'c')))::BIGINT AS n_matches FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))
+GROUP BY user_id, run""")
+def session_matches(spark, d):
+    return windowed_hits(table(spark, d, "events"), "event_type", "ts", "c", session="30 minutes", keys=("user_id",)).select("user_id", "start", F.col("n_rows").alias("n"), "n_matches")
+
+
+@query("""SELECT start, count(*) AS n_rows, sum(hit)::BIGINT AS n_hit FROM (
+  SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start, CASE WHEN contains(event_type, 'c') THEN 1 ELSE 0 END AS hit FROM events)
+GROUP BY start""")
+def sliding_matches(spark, d):
+    return windowed_hits(table(spark, d, "events"), "event_type", "ts", "c", window="2 hours", slide="1 hour").select("start", "n_rows", "n_hit")
+
+
+@query(r"""SELECT CAST(make_date(2024, 1 + k % 12, 1) AS VARCHAR) AS month, count(*) AS n, sum(sqrt(k * k))::BIGINT AS total FROM (SELECT CAST(regexp_extract(props, '"k": (\d+)', 1) AS BIGINT) AS k FROM events WHERE regexp_matches(props, '"k": \d+')) GROUP BY 1""")
+def date_json_functions(spark, d):
+    """Captures as JSON fields, numbers and dates."""
+    found = table(spark, d, "events").select(rx.find("props", r'\{[^{}]*"k": \d+[^{}]*\}').alias("json")).where("json is not null")
+    k = F.get_json_object("json", "$.k").cast("long")
+    month = F.make_date(F.lit(2024), (F.lit(1) + k % 12).cast("int"), F.lit(1)).cast("string")
+    return found.groupBy(month.alias("month")).agg(F.count("*").alias("n"), F.sum(F.sqrt(k * k)).cast("long").alias("total"))
+
+
+@query("SELECT lower(w) AS w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?i)[a-z]{4,}')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, w LIMIT 20")
+def ci_word_top20(spark, d):
+    """A caseless loop, which runs natively."""
+    words = table(spark, d, "documents").select(F.explode(rx.find_all("text", "[a-z]{4,}", flags="i")).alias("w")).select(F.lower("w").alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(20)
+
+
+@query("SELECT host, count(*) AS n FROM (SELECT regexp_extract(url, '//((?:[a-z0-9-]+[.])*[a-z0-9-]+)[:/]?', 1) AS host FROM pages) GROUP BY host")
+def host_extract(spark, d):
+    hosts = table(spark, d, "pages").select(rx.extract("url", r"//((?:[a-z0-9-]+\.)*+[a-z0-9-]*)[:/]?", 1).alias("host"))
+    return hosts.groupBy("host").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT lang, count(*) AS n, sum(len(regexp_extract_all(text, '(?i)licen[sc]e')))::BIGINT AS licences FROM documents WHERE regexp_matches(text, '{EMAIL}') GROUP BY lang")
+def sql_functions(spark, d):
+    """A query whose constant patterns are written as built-in functions."""
+    table(spark, d, "documents").createOrReplaceTempView("rx_documents")
+    return rx_sql(spark, f"SELECT lang, count(*) AS n, sum(rx_count(text, 'licen[sc]e', 'i')) AS licences FROM rx_documents WHERE rx_matches(text, r'{EMAIL}') GROUP BY lang")
+
+
 def _lexer_sql(source: str) -> str:
     counts = [f"SELECT '{label}' AS label, coalesce(sum(len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))), 0)::BIGINT AS n FROM src" for label, p in LEXER.items()]
     return f"WITH src AS ({source}) " + " UNION ALL ".join(counts)
@@ -275,3 +378,7 @@ _LINES_SQL = ", ".join("(" + repr(i) + ", '" + line.replace("'", "''") + "' || c
 def lexer_lines(spark, d):
     """The lexer workload itself: 100,000 lines of source code."""
     return lexer_counts(lines_table(spark, 100_000), "line")
+
+
+QUERIES |= constructs.QUERIES
+ORACLE_SQL |= constructs.ORACLE_SQL
