@@ -60,13 +60,21 @@ def _kernel(c: Column, p: Plan, fn: Callable, kind: str, missing=None, limits: d
     parsed = T._parse_datatype_string(kind)
     names = parsed.names if isinstance(parsed, T.StructType) else []
 
+    def each(s: pd.Series) -> list:
+        """Results of a batch; a text that it repeats is searched once."""
+        known: dict = {}
+        for t in s:
+            if t not in known:
+                known[t] = one(t)
+        return [known[t] for t in s]
+
     @F.pandas_udf(parsed)
     def udf(s: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in s], dtype=object)
+        return pd.Series(each(s), dtype=object)
 
     @F.pandas_udf(parsed)
     def udf_struct(s: pd.Series) -> pd.DataFrame:
-        rows = [one(t) for t in s]
+        rows = each(s)
         return pd.DataFrame([r if r is not None else dict.fromkeys(names) for r in rows], columns=names)
 
     run = udf_struct if names else udf
