@@ -193,7 +193,21 @@ def test_suffix_sort():
     assert rest == sorted(rest)
 
 
-def test_suffix_dedup(spark):
+def test_slices():
+    """Slices cover each start once, and all their windows hold the bytes that name them."""
+    rng = random.Random(4)
+    run = bytes(rng.choice(b"abc") for _ in range(330))
+    for apos in (100, 130, 160, 290):
+        for width in (1, 10, 40):
+            parts = suffix_dedup.sliced(run, apos, width, 200, 40)
+            assert sorted(s for a, b, _ in parts for s in range(a, b)) == [s for s in range(131) if 0 <= apos - s <= 160]
+            assert all(around.split(b":", 2)[2] in run[s : s + 200] for a, b, around in parts for s in range(a, b))
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    if hot:  # all buckets but the smallest are split, again and again
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
     rng = random.Random(1)
     passage = "".join(rng.choice("abcdefé ") for _ in range(500))
     fill = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -600,3 +614,66 @@ def test_shared_folder(spark):
     assert kept.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(gone._stash_path)
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage's decisions take effect on rows with and without ids, shared ids and repeated rows; clean ones stay."""
+    rng = random.Random(20)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "rt", "sk", "lm")]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = "A train leaves town at 40 km and the rider Bob pays 40 dollars for the long trip home today"
+    clean = [(i, line(30) + "\n" + line(25)) for i in range(40)]
+    copy = line(200)
+    near = [copy.replace(" ", " x ", 1), " ".join(w if i % 70 else "other" for i, w in enumerate(copy.split()))]
+    doubled, menu = line(40), "the same menu line in many documents"
+    rows = clean + [(100 + i, line(20) + " vile " + line(5) + " nasty") for i in range(12)] + [(None, line(20) + " vile nasty thing"), (None, line(30))]
+    rows += [(200, copy), (201, near[0]), (None, near[1]), (300, f"{line(10)} {item} {line(10)}"), (None, f"{item.replace('40', '75')} {line(12)}"), (301, line(33)), (301, line(34)), (302, doubled), (302, doubled)]
+    rows += [(400 + i, f"{menu}\n{line(20)}") for i in range(5)] + [(410, menu), (500, None), (501, ""), (502, " \n ")]
+    docs = spark.createDataFrame([(d, t, "en", rng.choice(["a", "b", None]), len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumn("th", F.lit(1)).withColumn("row", F.lit("r")).withColumn("toxic", F.lit(True)).withColumn("h", F.lit(0)).withColumn("size", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 1, 1) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = collections.Counter(r.doc_id for r in out)
+    # of the documents without id the clean one and none of the toxic, copied and contaminated ones stay
+    want = collections.Counter([*range(40), None, 200, 301, 301, 302, *range(400, 405), 500, 501, 502])
+    assert got == want
+    sizes = {r.doc_id: r["size"] for r in out}
+    assert sizes[400] == 27 and sizes[401] == 20 and sizes[500] == 0 and sizes[200] == 200
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in out:
+        by[r.source][0] += r.taken
+        by[r.source][1] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken - target) <= 40 for taken, target in by.values())  # whole copies of some 55 words
+
+
+def test_pipeline_empty(spark, tmp_path):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_counts(spark):
+    """The base statistics against plain counting, on texts of any kind."""
+    rng = random.Random(13)
+    vocab = ["a", "b", "c", "é#", "<x>", "%"]
+    texts = [None, "", " \n\t ", "x " * 30_000]
+    texts += ["".join(rng.choice(vocab) + rng.choice([" ", " ", "\n", "\n\n", "\t", "\u00a0"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    docs = frame(spark, texts + texts[10:12]).withColumn("n_words", F.lit(0)).withColumn("words", F.lit(0))
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(64)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality_rules.assess(docs, lab).collect()}
+    assert len(out) == len(texts) + 2
+    for i, t in enumerate(texts + texts[10:12]):
+        w = WORDS.findall(t or "")
+        seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = set()
+        for k in range(len(w) - 4):
+            if seen[tuple(w[k : k + 5])] > 1:
+                again |= set(range(k, k + 5))
+        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), len(w) < 10 or 100 * len(again) > 20 * len(w))
+        r = out[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want, i
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.assess(docs.limit(0), lab).count() == 0 and quality_rules.assess(docs.limit(3), lab.limit(0)).count() == 3
