@@ -9,18 +9,21 @@ its values must agree wherever it recurs, so a question with other numbers is
 caught and a mere mosaic of templates is not. Slots are aligned by the matching
 windows they lie in, so an inserted word shifts nothing. Plain windows, of the
 lower-cased words with their values, are matched beside the templates: a copy of
-an item is found whatever its case and line breaks make of its slots.
+an item is found whatever its case and line breaks make of its slots. A part of
+an item is found, too, if it is long: ``run`` consecutive words with their values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
 WINDOW = 5
 SHARE = 0.8
+#: Consecutive words of an item that count by themselves, whatever their share of it.
+RUN = 13
 #: Benchmark windows that are broadcast (8 bytes and an item each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Units that follow a number (fixed values).
@@ -74,14 +77,26 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.isNull(), doc_id.cast("long"), text)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def _with_runs(pairs: DataFrame, hits: DataFrame, listed: DataFrame, need: int) -> DataFrame:
+    """The (row, item_id) of pairs with ``need`` consecutive windows of the item in a row, one behind the other there as well."""
+    there = pairs.select("row", "item_id").join(hits, "row").join(listed.select("item_id", "h", "at", "p"), ["item_id", "h"])
+    # the values of a window with slots must be the item's own: its plain window is in the row as well
+    plain = hits.select("row", F.col("h").alias("p")).distinct()
+    there = there.join(plain, ["row", "p"], "left_semi").select("row", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    order = Window.partitionBy("row", "item_id", "shift").orderBy("at")
+    islands = there.withColumn("island", F.col("at") - F.row_number().over(order))
+    return islands.groupBy("row", "item_id", "shift", "island").count().filter(F.col("count") >= need).select("row", "item_id").distinct()
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """Pairs ``row, item_id, matched, windows, slots, consistent`` of found items; ``row`` is the row_key.
 
     docs: ``doc_id, text``; benchmark: ``item_id, text``; other columns are
     ignored. Null and empty texts match nothing, in an empty table nothing is
     found. An item of fewer words than a window is one window of its own length;
     rows that share an item_id are one item, those without one are ignored. The
-    whole of every text is read.
+    whole of every text is read. A pair that holds ``run`` consecutive words of
+    the item with their values is consistent.
     """
     docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
     items = benchmark.filter("item_id is not null").select("item_id", tagged(F.col("text")).alias("tag")).withColumn("tokens", words(F.col("tag"))).withColumn("template", words(templates(F.col("tag")))).withColumn("plain", words(plain(F.col("tag")))).filter(F.size("template") > 0)
@@ -117,8 +132,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     of_kind = listed.select("item_id", "h", F.lit(False).alias("exact")).union(as_plain.select("item_id", "h", F.lit(True))).distinct()
     per = once.join(of_kind, "h").groupBy("row", "item_id").agg(F.sum(F.when(~F.col("exact"), 1).otherwise(0)).alias("as_template"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("as_plain")).join(totals, "item_id")
     exact = F.col("as_plain") >= share * F.col("plain_windows")
-    found = per.withColumn("exact", exact).filter(F.col("exact") | (F.col("as_template") >= share * F.col("windows")))
-    found = found.select("row", "item_id", F.when(F.col("exact"), F.col("as_plain")).otherwise(F.col("as_template")).alias("matched"), F.when(F.col("exact"), F.col("plain_windows")).otherwise(F.col("windows")).alias("windows"), (F.col("has_slots") & ~F.col("exact")).alias("has_slots"))
+    need = max(run - window + 1, 1)
+    whole = F.col("exact") | (F.col("as_template") >= share * F.col("windows"))
+    per = stash(per.withColumn("exact", exact).filter(whole | (F.col("as_template") >= need)), "bench-pairs")
+    parts = stash(_with_runs(per.filter(~F.col("exact") & (F.col("as_template") >= need)), hits, listed, need).withColumn("part", F.lit(True)), "bench-parts")
+    found = per.join(parts, ["row", "item_id"], "left").withColumn("part", F.col("part").isNotNull()).filter(whole | F.col("part"))
+    found = found.select("row", "item_id", F.when(F.col("exact"), F.col("as_plain")).otherwise(F.col("as_template")).alias("matched"), F.when(F.col("exact"), F.col("plain_windows")).otherwise(F.col("windows")).alias("windows"), (F.col("has_slots") & ~F.col("exact") & ~F.col("part")).alias("has_slots"))
     found = stash(found, "bench-found")
     slotted = found.filter("has_slots")
     if slotted.limit(1).count() == 0:
