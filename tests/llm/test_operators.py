@@ -474,11 +474,11 @@ def test_decontamination_copies(spark):
     docs = [
         item.replace("and the", "and so the").replace("40", "75"),  # a word more between two places of one value
         item.lower(), item.upper(), item.replace(" ", "\n"), "so " + item.replace("rider Bob", "rider\nBob") + " ok",
-        item.replace("40 km", "75 km").replace("and the", "and so the"),  # values that disagree
+        item.replace("40 km", "75 km").replace("and the", "and so the"),  # values that disagree, but 20 words of the item's own
     ]
     b = spark.createDataFrame([(0, item), (1, "Ask Ann and Bob"), (2, "so it was said by Carl")], "item_id long, text string")
     got = {r.doc_id: list(r["items"]) for r in decontaminate.tag_contaminated(frame(spark, docs + ["well ask ann and\nBOB then"]), b).collect() if r.contaminated}
-    assert got == {0: [0], 1: [0], 2: [0], 3: [0], 4: [0], 6: [1]}
+    assert got == {0: [0], 1: [0], 2: [0], 3: [0], 4: [0], 5: [0], 6: [1]}
 
 
 def test_decontamination_rows(spark):
@@ -495,8 +495,18 @@ def test_decontamination_rows(spark):
     assert decontaminate.tag_contaminated(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_parts(spark):
+    """A long part of an item counts, a short one and one with other values don't."""
+    item = "A train leaves town at 40 km an hour and the rider Bob pays 40 dollars for the long trip home today while his brother waits at the old station near the river bank with two bags and a small dog that barks at every stranger who walks past the gate in the evening light of a cold winter day"
+    w = item.split()
+    rows = [" ".join(["x"] * 3 + w[a:b] + ["y"] * 3) for a, b in ((20, 33), (20, 32), (0, 25), (30, len(w)))] + [" ".join(w[:22]).replace("40", "75"), " ".join(w[20:28] + ["z"] + w[28:36])]
+    b = spark.createDataFrame([(4, item)], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.tag_contaminated(frame(spark, rows), b).collect() if r.contaminated}
+    assert got == {0, 2, 3}
+
+
 def test_decontamination_windows(spark):
-    """Items without slots: found where 0.8 of their distinct windows are, by brute force."""
+    """Items without slots: found where 0.8 of their distinct windows are, or 13 words in a row, by brute force."""
     rng = random.Random(12)
     vocab = [f"{a}{b}" for a in "bdfgklm" for b in ("ab", "en", "ir", "ol")]
     items = [[rng.choice(vocab) for _ in range(rng.randrange(1, 30))] for _ in range(12)]
@@ -510,7 +520,7 @@ def test_decontamination_windows(spark):
             t += copy + [rng.choice(vocab)]
         docs.append(t)
     windows = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
-    want = {i: sorted(k for k, item in enumerate(items) if len(windows(item, n := min(5, len(item))) & windows(t, n)) >= 0.8 * len(windows(item, n))) for i, t in enumerate(docs)}
+    want = {i: sorted(k for k, item in enumerate(items) if len(windows(item, n := min(5, len(item))) & windows(t, n)) >= 0.8 * len(windows(item, n)) or windows(item, 13) & windows(t, 13)) for i, t in enumerate(docs)}
     got = decontaminate.tag_contaminated(frame(spark, [" ".join(t) for t in docs]), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
     assert {r.doc_id: list(r["items"]) for r in got} == want
 
