@@ -263,11 +263,52 @@ def find_all(c, pattern, group: int = 0, flags: str = "", tier: str = "", **limi
     return _kernel(c, p, fn, "array<string>", F.array().cast("array<string>"), _limits(limits))
 
 
-def find_all_spans(c, pattern, flags: str = "", **limits) -> Column:
-    """All matches as arrays of byte spans: the match and its groups."""
-    c, rx, p = _planned(c, pattern, flags, "find_all_spans", "")
-    fn = lambda t, **k: [[{"a": a, "b": b} for a, b in m] for m in api.find_all(rx, t, **k)]
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, though ``then`` may use it in lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running_spans(gaps: Column) -> Column:
+    """Spans of matches from an array of (gap before it, size), in bytes.
+
+    Sums run within chunks of about the root of the number of matches and over
+    the chunks, so arrays that grow by one element at a time stay short.
+    """
+    one = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+
+    def spans(p: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(p))).cast("int")
+        chunks = F.sequence(F.lit(0), F.ceil(F.size(p) / size).cast("int") - 1)
+        part = lambda k: F.slice(p, k * size + 1, size)
+        total = lambda k: F.aggregate(part(k), F.lit(0), lambda t, x: t + x["gap"] + x["size"])
+        begins = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + total(k))))
+
+        def chunk(k, at):
+            begin = F.element_at(at, k + 1)
+            start = F.array(F.struct(begin.alias("a"), begin.alias("b")))
+
+            def add(acc, x):
+                end = F.element_at(acc, -1)["b"] + x["gap"]
+                return F.concat(acc, F.array(F.struct(end.alias("a"), (end + x["size"]).alias("b"))))
+
+            return F.slice(F.aggregate(part(k), start, add), F.lit(2), size)
+
+        return _let(begins, lambda at: F.flatten(F.transform(chunks, lambda k: chunk(k, at))))
+
+    empty = F.slice(F.array(one), 1, 0)
+    return _let(gaps, lambda p: F.when(F.size(p) == 0, empty).otherwise(spans(p)))
+
+
+def find_all_spans(c, pattern, flags: str = "", tier: str = "", **limits) -> Column:
+    """All matches as arrays of byte spans: the match and its groups. Native without groups."""
+    c, rx, p = _planned(c, pattern, flags, "find_all_spans", tier)
     kind = f"array<array<{SPAN}>>"
+    if p.native is not None:
+        found = F.regexp_extract_all(c, F.lit(p.native.pattern), F.lit(0))
+        zipped = F.slice(F.arrays_zip(F.split(c, p.native.pattern, -1).alias("gap"), found.alias("hit")), F.lit(1), F.size(found))
+        gaps = F.transform(zipped, lambda x: F.struct(F.octet_length(x["gap"]).alias("gap"), F.octet_length(x["hit"]).alias("size")))
+        return F.when(c.isNotNull(), F.transform(_running_spans(gaps), lambda x: F.array(x))).cast(kind)
+    fn = lambda t, **k: [[{"a": a, "b": b} for a, b in m] for m in api.find_all(rx, t, **k)]
     return _kernel(c, p, fn, kind, F.array().cast(kind), _limits(limits))
 
 

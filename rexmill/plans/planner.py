@@ -46,11 +46,11 @@ def plan(rx: Regex, op: str, template: str | None = None, count: int = 0, start:
     if p.native is None:
         return p
     why = ""
-    if op in ("find_all", "count", "replace", "split") and not p.min_width:
+    if op in ("find_all", "find_all_spans", "count", "replace", "split") and not p.min_width:
         why = "empty matches"
-    elif op in ("find_all_spans", "replace_with", "captures"):
-        why = "spans of all matches"
-    elif op == "spans" and rx.capture_count:
+    elif op in ("replace_with", "captures"):
+        why = "a function of the spans"
+    elif op in ("spans", "find_all_spans") and rx.capture_count:
         why = "spans of groups"
     elif start:
         why = "a start position"
@@ -60,7 +60,7 @@ def plan(rx: Regex, op: str, template: str | None = None, count: int = 0, start:
         why = r"\K where the match's start counts"
     elif p.native.loose and rx.capture_count and op in ("extract", "replace", "split"):
         why = "groups that calls set"
-    elif p.native.chained and op in ("backward", "spans", "span", "split", "extract"):
+    elif p.native.chained and op in ("backward", "spans", "span", "split", "extract", "find_all_spans"):
         why = r"\G inside another pattern"
     return Plan("kernel", why, None, p.required, p.min_width) if why else p
 

@@ -39,11 +39,12 @@ def test_tiers_agree(df, pattern):
         *[rx.find_struct("t", pattern, tier=k).alias(f"x{k}") for k in ("", "kernel")],
         *[rx.match_at("t", pattern, tier=k).alias(f"z{k}") for k in ("", "kernel")],
         *[rx.starts_with("t", pattern, tier=k).alias(f"y{k}") for k in ("", "kernel")],
+        *[rx.find_all_spans("t", pattern, tier=k).alias(f"w{k}") for k in ("", "kernel")],
         *[rx.replace("t", pattern, "[$0]$$", count=2, tier=k).alias(f"n{k}") for k in ("", "kernel")],
         *[rx.split("t", pattern, 1, tier=k).alias(f"q{k}") for k in ("", "kernel")],
     ).collect()
     for row in out:
-        for k in "mfsacrpbxzynq":
+        for k in "mfsacrpbxzynqw":
             assert row[k] == row[f"{k}kernel"], (pattern, k, row)
 
 
@@ -74,6 +75,12 @@ def test_caseless_sets_exactly(spark, pattern):
     assert len(got ^ want) < 700  # letters of later versions of Unicode
 
 
+def test_many_spans(spark):
+    text = "aé, " * 30_000
+    row = spark.createDataFrame([(text,)], "t string").select(rx.find_all_spans("t", r"\w+").alias("s")).select(F.size("s").alias("n"), F.element_at("s", 17)[0].alias("x"), F.element_at("s", -1)[0].alias("y")).first()
+    assert (row.n, tuple(row.x), tuple(row.y)) == (30_000, (80, 83), (149_995, 149_998))
+
+
 def test_linear_in_the_subject(spark):
     """Loops over groups that run natively take neither stack nor more than linear time."""
     text = "ab." * 200_000
