@@ -1,4 +1,8 @@
-"""One query per operator, over whole tables with production parameters, and SQL where it can express it."""
+"""One query per operator, over whole tables with production parameters, and SQL where it can express it.
+
+Every query gives one row for each row of its table, repeated rows included, and
+none for an empty table; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -10,52 +14,63 @@ from .common import table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components at 3-word shingles and similarity 0.9; rows without words are linked with nothing, a null doc_id is larger than any other."""
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that repeat an earlier one, exactly or nearly; a null text has no lines."""
     return line_dedup.dedup_counts(table(spark, sf_dir, "documents"), equal_chars=line_dedup.EQUAL_CHARS)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that a 200-byte string occurring elsewhere covers; null texts are empty, equal rows count as occurrences of each other."""
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; a null source is one of its own, a null text has size 0, equal rows are interchangeable."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each text, learned from rows that aren't held out; ``und`` for null texts and those without a letter."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict of each document; null and empty texts score the base rate."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", "toxic")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of each document; null texts have no words and fail."""
     out = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, through a ledger of its distinct texts; null texts are empty."""
     found, _ = secret_scan.scan_paths(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secret_scan.digest(found)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each row holds; rows without doc_id and rows that share one are judged by their own texts."""
     out = decontaminate.tag_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of each page, written and read back; a null html is an empty payload."""
     packages = warc.write_packages(table(spark, sf_dir, "pages"))
     return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline; see there."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
