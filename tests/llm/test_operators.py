@@ -41,7 +41,7 @@ def vocab():
 @pytest.mark.parametrize("k,num,small", [(3, 90, None), (5, 80, None), (5, 80, 3)])
 def test_ngram_components(spark, vocab, monkeypatch, k, num, small):
     rng = random.Random(k)
-    if small:  # the buckets of all grids are too large, so blocks decide
+    if small:  # the buckets are too large, so blocks decide
         monkeypatch.setattr(ngram_join, "SMALL", small)
         monkeypatch.setattr(ngram_join, "BLOCK", 16)
         monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 32)
@@ -86,18 +86,17 @@ def test_ngram_components(spark, vocab, monkeypatch, k, num, small):
     assert kept == {i for i in range(len(texts)) if root(i) == i}
 
 
-def test_segments_on_every_grid():
-    """Any two linked sets share a segment on each grid."""
+def test_segments():
+    """Any two linked sets share a segment."""
     rng = np.random.default_rng(5)
-    for grid in range(4):
-        for n in (1, 2, 5, 9, 10, 11, 40, 150, 900):
-            for num in (80, 90):
-                x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-                most = (100 - num) * len(x) // 100
-                y = np.unique(np.r_[x[most:], rng.integers(0, 1 << 63, max(0, most // 2 - 1)).astype(np.uint64)])
-                o = len(np.intersect1d(x, y))
-                if 100 * o >= num * (len(x) + len(y) - o) and len(x) != o:
-                    assert len(np.intersect1d(ngram_join.segment_keys(x, num, 100, grid), ngram_join.segment_keys(y, num, 100, grid))), (grid, n, num)
+    for n in (1, 2, 5, 9, 10, 11, 40, 150, 900):
+        for num in (80, 90):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            most = (100 - num) * len(x) // 100
+            y = np.unique(np.r_[x[most:], rng.integers(0, 1 << 63, max(0, most // 2 - 1)).astype(np.uint64)])
+            o = len(np.intersect1d(x, y))
+            if 100 * o >= num * (len(x) + len(y) - o) and len(x) != o:
+                assert len(np.intersect1d(ngram_join.segment_keys(x, num, 100), ngram_join.segment_keys(y, num, 100))), (n, num)
 
 
 def test_keep_one_row(spark, vocab):
