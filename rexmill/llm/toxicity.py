@@ -11,9 +11,12 @@ that does best on the parts of the sample that a model didn't learn from.
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,30 @@ def words_of(text: str | None) -> set[str]:
     return set(_LETTERS.findall((text or "").lower()))
 
 
-def _stems(word: str) -> list[str]:
-    return [f"{word[:k]}-" for k in STEMS if len(word) > k]
+@functools.lru_cache(1 << 16)
+def _stems(word: str) -> tuple[str, ...]:
+    return tuple(f"{word[:k]}-" for k in STEMS if len(word) > k)
 
 
 def features_of(words) -> set[str]:
     """The words; their beginnings, with a hyphen; and, with two, the beginnings that several of the words have."""
-    seen = Counter(s for w in words for s in _stems(w))
+    seen = Counter(chain.from_iterable(map(_stems, words)))
     return {*words, *seen, *(f"{s}-" for s, n in seen.items() if n > 1)}
 
 
+def chosen_of(words, chosen, known: dict[str, tuple[str, ...]]) -> list[str]:
+    """The features of words that are chosen, sorted; known keeps what each word may bring."""
+    held: list[str] = []
+    for w in words:
+        got = known.get(w)
+        if got is None:
+            got = known[w] = tuple(f for f in (w, *_stems(w)) if f in chosen or f"{f}-" in chosen)
+        held += got
+    if not held:
+        return held
+    return sorted(f for f in {*held, *(f"{f}-" for f, n in Counter(held).items() if n > 1)} if f in chosen)
+
+
 def likelihood_ratio(a: np.ndarray, df: np.ndarray, rate: float) -> np.ndarray:
     """Test statistic of features that a toxic and df documents hold, where a share ``rate`` of all is toxic; 0 if they aren't signs of toxicity."""
     b = df - a
@@ -71,17 +88,7 @@ class Model:
         """The linear predictor w.x of each text; what a word brings is looked up once."""
         weight = dict(zip(self.words, self.weights))
         known: dict[str, tuple[str, ...]] = {}
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            held: list[str] = []
-            for w in words_of(text):
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = tuple(f for f in (w, *_stems(w)) if f in weight or f"{f}-" in weight)
-                held += got
-            twice = {f"{f}-" for f, n in Counter(held).items() if n > 1}
-            out[i] = sum(weight.get(f, 0.0) for f in sorted({*held, *twice}))
-        return out
+        return np.array([sum(weight[f] for f in chosen_of(words_of(t), weight, known)) for t in texts], float)
 
     def probabilities(self, z: np.ndarray) -> np.ndarray:
         """P(grade = j) for the linear predictors z, one column per grade."""
@@ -203,22 +210,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     counts = rows.select("grade", "words").mapInArrow(counted, "feature string, a long, df long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("df").alias("df"))
     counts = stash(counts, "toxic-features")
     tried = counts.count()
-    # the features that toxic documents hold more often than others, of a bounded sample
-    some = counts.filter((F.col("a") >= LEAST_TOXIC) & (F.col("a") > F.col("df") * (toxic / n))).orderBy("feature").toPandas()
-    ratio = likelihood_ratio(some["a"].to_numpy(float), some["df"].to_numpy(float), toxic / n)
-    chosen = some["feature"][ratio >= level(tried)].tolist()
+    rate, a, b = toxic / n, F.col("a"), F.col("df") - F.col("a")
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    ratio = 2 * (part(a, F.col("df") * rate) + part(b, F.col("df") * (1 - rate)))
+    # few by the test's level, as the sample is bounded
+    few = counts.filter((a >= LEAST_TOXIC) & (a > F.col("df") * rate) & (ratio >= level(tried))).select("feature")
+    chosen = sorted(r["feature"] for r in few.collect())
     if not chosen:
         return Model((), (), (30.0, 31.0))
     at = {w: i for i, w in enumerate(chosen)}
 
     def held(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("held", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("held", pa.list_(pa.int32())), ("tie", pa.int64())])
+        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            yield to_batch(schema, batch.column("doc_id"), batch.column("grade"), [sorted(at[f] for f in features_of(w) if f in at) for w in batch.column("words").to_pylist()])
-
-    got = rows.mapInArrow(held, "doc_id long, grade int, held array<int>").toPandas().sort_values("doc_id", kind="stable")
-    order = np.lexsort(([str(list(h)) for h in got["held"]], got["grade"], got["doc_id"]))
-    index, grades = [np.asarray(got["held"].iloc[i], int) for i in order], got["grade"].to_numpy(int)[order]
+            rows = [[at[f] for f in chosen_of(w, at, known)] for w in batch.column("words").to_pylist()]
+            yield to_batch(schema, batch.column("doc_id"), batch.column("grade"), rows, [zlib.crc32(str(r).encode()) for r in rows])
+
+    got = rows.select("doc_id", "grade", "words").mapInArrow(held, "doc_id long, grade int, held array<int>, tie long").toArrow().combine_chunks()
+    order = np.lexsort([got[c].to_numpy() for c in ("tie", "grade", "doc_id")])
+    lists = got["held"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(int)
+    index, grades = [flat[ends[i] : ends[i + 1]] for i in order], got["grade"].to_numpy().astype(int)[order]
     fold = np.random.default_rng(7).permutation(len(index)) % FOLDS
     cut = best_cut(cross_fitted(index, grades, fold, len(chosen), tried), grades > 0)
     weights, theta = fit_ordinal(index, grades, len(chosen))
