@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, slices, stash, to_batch
+from .common import as_bytes, bounded, mix64, slices, stash, to_batch
 
 LENGTH = 200
 GRAM = 40
 PERIOD = 32
 #: Longer texts are cut into overlapping pieces of this size while anchors are computed.
-PIECE = 8 << 20
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -248,6 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, peri
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"))
+    bounded(docs)
     keyed = given.filter(F.col("n_bytes") >= length).select("doc_id", "th", F.col("text").cast("binary").alias("bytes"))
     classes = keyed.groupBy("th").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
 
