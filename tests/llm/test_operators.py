@@ -147,6 +147,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_counts(docs.limit(0)).count() == 0
 
 
+def test_driver_heap_settles(spark, monkeypatch):
+    """A stashed step has a driver whose JVM holds much of its heap's limit collect, and leaves others alone."""
+    full = lambda: [x.getCollectionCount() for x in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()][-1]
+    for share, more in ((1.0, False), (0.0, True)):
+        monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+        before = full()
+        common.unstash(common.stash(spark.range(3), "settled"))
+        assert (full() > before) == more
+
+
 def test_short_lines(spark, tmp_path):
     rows = [(1, "menu\n\n- a\nx"), (2, "menu\n\nmena\n- a"), (3, "menu"), (4, " \n \ny")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
