@@ -166,6 +166,15 @@ def test_short_lines(spark, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == {1: (rows[0][1], 11), 2: ("\nmena", 5), 4: (rows[3][1], 5)}
 
 
+def test_line_dedup_query_rebuilds(spark, tmp_path):
+    """The query gives each document's rebuilt text as its hash, those of documents that lose every line included."""
+    rows = [(1, "the first line of them all\nmenu\n"), (2, "the first line of them alL\n\nmenu\nown"), (3, "menu"), (4, None), (5, "own words\nmenu\nmenu")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_near, r.kept_sha256) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {1: (3, 0, 0, rows[0][1]), 2: (4, 1, 1, "\nown"), 3: (1, 1, 0, ""), 4: (0, 0, 0, ""), 5: (3, 2, 0, "own words")}
+    assert got == {i: (*n, hashlib.sha256(text.encode()).hexdigest()) for i, (*n, text) in kept.items()}
+
+
 def test_line_dedup_shared_ids(spark):
     a, b, c, near = "the first line of them all", "another line that is long", "clean text of a null row", "the first line of them alL"
     rows = [(1, a), (None, f"{a}\n{b}"), (None, c), (None, f"{c}s and more of it"), (7, "one of two texts of id 7"), (7, f"{a}\nthe other text of id 7"), (8, f"{near}\nrest of the document"), (9, "doubled row with this line"), (9, "doubled row with this line")]
