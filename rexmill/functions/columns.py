@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,21 @@ MATCH = f"struct<found:boolean,boundaries:array<{SPAN}>>"
 _DEFAULTS = {"step_limit": STEP_LIMIT, "call_limit": CALL_LIMIT}
 
 
+#: Bytes of an Arrow batch that a Python worker is sent, where the session sets no bound of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches() -> None:
+    """Batches of bounded bytes for the session's Python workers (a longer row comes alone), unless it has a bound of its own.
+
+    A worker holds a batch several times over: as it came, as texts, and with
+    the results. Spark's own bound is 64 MB, in each worker of each core.
+    """
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session is not None and session.conf.get(key, None) is None:
+        session.conf.set(key, str(BATCH_BYTES))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -46,6 +61,7 @@ def _kernel(c: Column, p: Plan, fn: Callable, kind: str, missing=None, limits: d
     """Run fn(text, **limits) on the rows that hold the required literal; others get ``missing``."""
     limits = dict(limits or {})
     null_errors = limits.pop("on_error", "raise") == "null"
+    bound_batches()
 
     def one(text):
         if text is None:

@@ -17,7 +17,7 @@ from pyspark.sql.types import _parse_datatype_string as kind_of
 
 from ..operators import api
 from ..plans.planner import java_template, marked, plan
-from .columns import MATCH, _shifted, _surely, _to_match
+from .columns import MATCH, _shifted, _surely, _to_match, bound_batches
 
 
 def _group(rx: api.Regex, g) -> int:
@@ -87,6 +87,7 @@ def find_all_table():
 
 def register(spark: SparkSession) -> None:
     """Register rx_* functions and the table function rx_find_all (for LATERAL)."""
+    bound_batches()
     for name, (kind, defaults, fn) in FUNCTIONS.items():
         spark.udf.register(name, _udf(kind, defaults, fn))
     spark.udtf.register("rx_find_all", find_all_table())

@@ -158,18 +158,23 @@ def doubled_word(spark, d):
     return table(spark, d, "documents").where(rx.matches("text", r"\b([a-z]{4,12})\x20\1\b")).select("doc_id")
 
 
+def _if_any(hit):
+    """A row for a hit, none for null. A filter would run the kernel a second time, as it is pushed below what it tests."""
+    return F.explode(F.array_compact(F.array(hit)))
+
+
 _NESTED_SQL = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"  # SQL has no recursion: four levels, more than the tables hold
 
 
 @query(f"SELECT doc_id, regexp_extract(text, '{_NESTED_SQL}', 0) AS hit FROM documents WHERE regexp_matches(text, '{_NESTED_SQL}')")
 def paren_recursion(spark, d):
-    return table(spark, d, "documents").select("doc_id", rx.find("text", r"\((?:[^()]++|\g<0>)*\)").alias("hit")).where("hit is not null")
+    return table(spark, d, "documents").select("doc_id", _if_any(rx.find("text", r"\((?:[^()]++|\g<0>)*\)")).alias("hit"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 0) AS hit FROM pages WHERE regexp_matches(html, '<title>([^<]*)</title>')")
 def html_tag_balanced(spark, d):
     hit = rx.find("html", r"(?<tag><(?<n>title)>(?:[^<]++|\g<tag>)*</\k<n>>)")
-    return table(spark, d, "pages").select("page_id", hit.alias("hit")).where("hit is not null")
+    return table(spark, d, "pages").select("page_id", _if_any(hit).alias("hit"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '(?s)<script>.*?</script>', 0) AS script FROM pages WHERE regexp_matches(html, '(?s)<script>.*?</script>')")

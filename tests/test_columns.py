@@ -9,6 +9,7 @@ from rexmill.functions.sql import register
 from rexmill.operators import api
 from rexmill.operators.api import regex
 from rexmill.plans.planner import plan
+from rexmill.queries import QUERIES
 from rexmill.sources.tables import tag_by_patterns
 from rexmill.streaming.stateless import windowed_hits
 
@@ -160,6 +161,29 @@ def test_stream(spark, tmp_path):
     assert got == [(1, 1, 1), (2, 1, 2)]
 
 
+def test_kernel_batches(spark):
+    """The kernel's batches are bounded by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rx.find("t", r"(a)(?1)?b\g<0>?")
+    assert spark.conf.get(key) == str(rx.BATCH_BYTES)
+    spark.conf.set(key, "1000000")
+    register(spark)
+    rx.find("t", r"(a)(?1)?b\g<0>?")
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["html_tag_balanced", "paren_recursion"])
+def test_kernel_runs_once(spark, tmp_path, name):
+    """A query that keeps the rows with a hit runs the kernel once, not for its filter as well."""
+    for t, c, x in (("pages", "page_id", "html"), ("documents", "doc_id", "text")):
+        spark.createDataFrame([(1, "a<title>b</title>(c(d))"), (2, "e"), (3, None)], f"{c} bigint, {x} string").write.parquet(str(tmp_path / f"{t}.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in df.collect()] == [(1, "<title>b</title>" if name == "html_tag_balanced" else "(c(d))")]
+
+
 def test_pushdown(spark, tmp_path):
     spark.range(5).select(F.col("id").cast("string").alias("t")).write.parquet(str(tmp_path / "p"))
     text = spark.read.parquet(str(tmp_path / "p")).where(rx.matches("t", r"abc\d+"))._jdf.queryExecution().toString()
